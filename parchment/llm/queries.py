@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, simhash, token_counts, toxicity
+from parchment.llm import decontaminate, exact_dedup, line_dedup, simhash, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.over_budget(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "text", "n_lines", "n_removed")
