@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, line_dedup, simhash, token_counts, toxicity
+from parchment.llm import decontaminate, exact_dedup, line_dedup, simhash, substring_dedup, token_counts, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
     return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"), counts=True)
+    return found.select("doc_id", "text", "n_sentences", "n_removed")
