@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, simhash, substring_dedup, token_counts, toxicity
+from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,32 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op4_url_filter"] = r"""
+WITH r(action, host, path) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+u AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages),
+fit AS (
+  SELECT page_id, r.host || r.path AS rule, action, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC) AS n
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT u.page_id, u.host, u.path, rule, coalesce(action, 'allow') AS verdict
+FROM u LEFT JOIN fit ON u.page_id = fit.page_id AND n = 1
+"""

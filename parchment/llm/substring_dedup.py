@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from parchment.llm.rows import with_made
 from parchment.llm.storage import store
 
 MIN_SENTENCES = 2
@@ -97,16 +98,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     return again.join(k, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("at") == F.col("__at")), "left_anti").select("doc_id", "th", "at", "n")
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+def _without():
+    def cut(text: pa.Array, at: pa.Array, n: pa.Array) -> list[pa.Array]:
         texts, total, removed = [], [], []
-        for text, at, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            pieces = sentences(text) if text else []
-            gone = {k for a, m in zip(at, n) for k in range(a, a + m)} if at else ()
-            texts.append("".join(p for k, p in enumerate(pieces) if k not in gone).rstrip() if gone else text)
+        for t, a, m in zip(text.to_pylist(), at.to_pylist(), n.to_pylist()):
+            pieces = sentences(t) if t else []
+            gone = {k for i, c in zip(a, m) for k in range(i, i + c)} if a else ()
+            texts.append("".join(p for k, p in enumerate(pieces) if k not in gone).rstrip() if gone else t)
             total.append(len(pieces))
             removed.append(len(gone))
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], names=["text", "n_sentences", "n_removed"])
+        return [pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())]
+
+    return cut
 
 
 def dedup_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", counts: bool = False, **kw) -> DataFrame:
@@ -114,17 +117,6 @@ def dedup_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     cut = store(repeated_spans(docs, text_col, id_col, **kw).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__at"), F.collect_list("n").alias("__n")))
     j = docs.join(cut, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = len(b.schema) - 3
-            (new,) = _without([pa.RecordBatch.from_arrays([b.column(k), b.column(k + 1), b.column(k + 2)], names=["t", "at", "n"])])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(k)), *new.columns], names=[str(c) for c in range(k + 3)])
-
-    others = [c for c in docs.columns if c != text_col]
-    fields = [docs.schema[c] for c in others]
-    plain = j.select(*(F.col(c).alias(str(k)) for k, c in enumerate(others)), F.col(text_col).alias("t"), "__at", "__n")
-    schema = ", ".join([*(f"`{k}` {f.dataType.simpleString()}" for k, f in enumerate(fields)), f"`{len(others)}` string, `{len(others) + 1}` bigint, `{len(others) + 2}` bigint"])
-    made = plain.mapInArrow(run, schema)
-    name = {c: str(k) for k, c in enumerate([*others, text_col])}
-    out = [F.col(name[c]).alias(c) for c in docs.columns]
-    return made.select(*out, *([F.col(str(len(others) + 1)).alias("n_sentences"), F.col(str(len(others) + 2)).alias("n_removed")] if counts else []))
+    out = with_made(j, [F.col(text_col), F.col("__at"), F.col("__n")], [(text_col, "string"), ("__sentences", "bigint"), ("__removed", "bigint")], _without)
+    more = [F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed")] if counts else []
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *more)
