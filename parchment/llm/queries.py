@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, simhash, substring_dedup, token_counts, toxicity, url_filter
+from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -125,3 +125,8 @@ fit AS (
 SELECT u.page_id, u.host, u.path, rule, coalesce(action, 'allow') AS verdict
 FROM u LEFT JOIN fit ON u.page_id = fit.page_id AND n = 1
 """
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
