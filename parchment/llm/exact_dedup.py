@@ -28,10 +28,12 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from parchment.llm.storage import store
+from parchment.llm.storage import batch_rows, store
 
 SPACE = b" \t\n\x0b\x0c\r"
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 24 << 20
+#: Rows of an Arrow batch, which holds whole texts on both sides of the pipe.
+BATCH_ROWS = 1000
 
 LOCAL = "doc_id bigint, part bigint, n bigint, h bigint, sha string, norm binary, best_cp bigint, best_id bigint, cnt bigint"
 OWNED = "part bigint, keep_id bigint, group_size bigint"
@@ -162,9 +164,10 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row: texts are equal without their ASCII white space."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("cp"), F.encode(text, "UTF-8").alias("t"))
-    local = store(rows.mapInArrow(_local, LOCAL))
-    texts = local.filter("norm is not null").select("part", "n", "h", "norm", "best_cp", "best_id", "cnt")
-    owned = texts.repartition("n", "h").sortWithinPartitions("n", "h").mapInArrow(_own, OWNED)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        local = store(rows.mapInArrow(_local, LOCAL))
+        texts = local.filter("norm is not null").select("part", "n", "h", "norm", "best_cp", "best_id", "cnt")
+        owned = store(texts.repartition("n", "h").sortWithinPartitions("n", "h").mapInArrow(_own, OWNED))
     out = local.select("doc_id", "part", "sha").join(owned, "part")
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
