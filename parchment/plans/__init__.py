@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 from parchment.plans.registry import ORACLES, QUERIES
 
+MODULES = ("text_queries", "search_queries", "keyword_queries")
+
 
 def load() -> tuple[dict, dict]:
     """(queries, oracles) of the whole package."""
+    for name in MODULES:
+        import_module(f"parchment.plans.{name}")
     return dict(QUERIES), dict(ORACLES)
