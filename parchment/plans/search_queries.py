@@ -34,7 +34,7 @@ def plain(select: str, fix: str = "n_spans") -> str:
     return f"WITH {CTE.replace("@HITS@", select)} SELECT {ROW.replace('n_spans', fix + ' AS n_spans')} FROM located"
 
 
-@query("search_exact", plain(sql.runs(["the"], "lower(token)", 0), "1"))
+@query("search_exact", plain(sql.runs(["the"], "lower(token)", 0), "CAST(1 AS BIGINT)"))
 def search_exact(spark, d):
     return flat(S.exact(tok(spark, d), "The"))
 
@@ -65,7 +65,7 @@ def search_stemmed(spark, d):
     return flat(S.match_runs(tok(spark, d), ["thing"], lambda t: folding.stem(folding.fold(t))))
 
 
-@query("search_fuzzy", plain(sql.fuzzy("thing"), "1"))
+@query("search_fuzzy", plain(sql.fuzzy("thing"), "CAST(1 AS BIGINT)"))
 def search_fuzzy(spark, d):
     return flat(S.fuzzy(tok(spark, d), "thing"))
 
