@@ -13,6 +13,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
+from parchment.functions.text import let
+
 HANGUL = (0xAC00, 0xD7A3)
 
 
@@ -58,6 +60,10 @@ def hangul_grown(key: Column) -> Column:
 
 def stem(key: Column) -> Column:
     """Light suffix rules for keys of a-z only; the first that applies wins."""
+    return let(key, _stem)
+
+
+def _stem(key: Column) -> Column:
     n = F.length(key)
     cut = lambda k: F.substring(key, F.lit(1), n - k)
     return (

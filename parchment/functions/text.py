@@ -11,18 +11,27 @@ CJK = "[ᄀ-ᇿ　-鿿가-힯豈-﫿]"
 SPECIAL = r"[+#(){}\[\]@$%^&*=<>~`|\\]"
 #: White space as trimming takes it: Unicode's, with NBSP and the byte order mark.
 BLANK = r"[\s ﻿  -     　]"
-CHUNK = 256
+CHUNK = 32
 
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row: a bare column expression would be computed again in each step of
+    a higher-order function that mentions it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def prefix_sums(sizes: Column) -> Column:
-    """Sum of all earlier entries for each entry, in chunks so that a long array stays linear."""
+    """Sum of all earlier entries for each entry, in chunks so that a long array stays close to linear."""
+    return let(sizes, _prefix_sums)
+
+
+def _prefix_sums(sizes: Column) -> Column:
     n = F.size(sizes)
     chunks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    add = lambda s, x: s + x
     part = lambda c: F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK))
 
     def scan(values: Column, first: Column) -> Column:
@@ -30,17 +39,20 @@ def prefix_sums(sizes: Column) -> Column:
         return F.aggregate(values, zero, lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.concat(s["out"], F.array(s["sum"])).alias("out")))["out"]
 
     totals = F.transform(chunks, lambda c: F.aggregate(part(c), F.lit(0), add))
-    firsts = scan(totals, F.lit(0))
-    return F.flatten(F.transform(chunks, lambda c: scan(part(c), F.get(firsts, c))))
+    inner = lambda firsts: F.flatten(F.transform(chunks, lambda c: scan(part(c), F.get(firsts, c))))
+    return let(scan(totals, F.lit(0)), inner)
 
 
 def tokens(text: Column) -> Column:
     """array<struct<token, start, end>>"""
-    found = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    gaps = F.slice(F.split(text, TOKEN, -1), 1, F.size(found))
-    steps = F.zip_with(gaps, found, lambda g, t: F.length(g) + F.length(t))
-    ends = F.zip_with(prefix_sums(steps), steps, add)
-    return F.zip_with(found, ends, lambda t, e: F.struct(t.alias("token"), (e - F.length(t)).cast("int").alias("start"), e.cast("int").alias("end")))
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.split(text, TOKEN, -1), 1, F.size(found))
+        steps = F.zip_with(gaps, found, lambda g, t: F.length(g) + F.length(t))
+        ends = lambda st: F.zip_with(prefix_sums(st), st, add)
+        return F.zip_with(found, let(steps, ends), lambda t, e: F.struct(t.alias("token"), (e - F.length(t)).cast("int").alias("start"), e.cast("int").alias("end")))
+
+    return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), placed)
 
 
 def add(a: Column, b: Column) -> Column:
