@@ -78,7 +78,7 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, rank: int = RANK, epochs: int = 40, rate: float = 0.1, decay: float = 1e-4, max_terms: int = 20_000, min_chi2: float = 10.8, seed: int = 7) -> Model:
+def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, rank: int = RANK, epochs: int = 100, rate: float = 0.1, decay: float = 1e-5, max_terms: int = 20_000, min_chi2: float = 10.8, seed: int = 7) -> Model:
     """rows: (hashes of the terms, label 0 or 1). share: of class 1 where it differs from that of the rows."""
     y = np.array([label for _, label in rows], np.float64)
     n, pos = len(y), float(y.sum())
