@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, packing, simhash, substring_dedup, token_counts, toxicity, url_filter
+from parchment.session import ship
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def query(f):
