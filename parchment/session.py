@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers find this package wherever the driver was started; a cluster that installs it isn't affected."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
+
+
 def local_session(cpus: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("parchment")
         .config("spark.sql.shuffle.partitions", str(partitions))
