@@ -137,3 +137,21 @@ def test_keywords_of_nothing(spark):
     assert {r.doc_id for r in K.tfidf(docs).collect()} == {4}
     assert [(r.term, r.frequency) for r in K.ngrams(docs).collect()] == [("graph", 2)]
     assert {r.term for r in K.textrank(docs).collect()} == {"graph", "theory"}
+
+
+def test_scan_guard(spark, tmp_path):
+    from parchment.sources.files import MOST_BYTES, scan_guard
+
+    (tmp_path / "a.pdf").write_bytes(b"%PDF")
+    (tmp_path / "b.txt").write_bytes(b"x")
+    with open(tmp_path / "c.PDF", "wb") as f:
+        f.truncate(MOST_BYTES + 1)
+    got = {r.path.rsplit("/", 1)[1]: (r.accepted, r.reason) for r in scan_guard(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": (True, None), "b.txt": (False, "type"), "c.PDF": (False, "size")}
+
+
+def test_every_query_has_an_oracle():
+    from parchment.plans import load
+
+    queries, oracles = load()
+    assert set(queries) == set(oracles) and len(queries) > 80
