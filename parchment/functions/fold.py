@@ -67,7 +67,8 @@ def _stem(key: Column) -> Column:
     n = F.length(key)
     cut = lambda k: F.substring(key, F.lit(1), n - k)
     return (
-        F.when(~key.rlike("^[a-z]+$"), key)
+        F.when(~(key.endswith("s") | key.endswith("ing") | key.endswith("ed")), key)  # spares most keys the pattern
+        .when(~key.rlike("^[a-z]+$"), key)
         .when(key.endswith("ies") & (n >= 5), F.concat(cut(3), F.lit("y")))
         .when(key.endswith("es") & (n >= 5), F.when(cut(2).rlike("(s|x|z|ch|sh)$"), cut(2)).otherwise(cut(1)))
         .when(key.endswith("s") & ~key.endswith("ss") & (n >= 4), cut(1))

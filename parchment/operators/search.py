@@ -181,21 +181,22 @@ def _stem_py(k: str) -> str:
     return k[:-2] if k.endswith("ed") and n >= 5 else k
 
 
-def _fuzzy_hits(folded: str, case_sensitive: bool) -> Column:
-    """array of the places in toks of fuzzy hits."""
+def _fuzzy_places(folded: str) -> Column:
+    """array of the places in kf (folded tokens) within the edit distance of the query, the query itself left out."""
     most = 1 if len(folded) <= 7 else 2
-    n = F.length
-    near = lambda t: n(t["token"]).between(1, len(folded) + most)
-    key = lambda t: folding.hangul_grown(folding.fold(t["token"], not case_sensitive))
-    short = F.transform(F.filter("toks", near), lambda t: F.struct(key(t).alias("k"), t["start"].alias("s"), t["end"].alias("e")))
-    return F.filter(short, lambda x: (x["k"] != folded) & (F.abs(n(x["k"]) - len(folded)) <= most) & F.levenshtein(x["k"], F.lit(folded), most).between(0, most))
+    key = lambda i: F.get("kf", i)
+    near = lambda i: (F.abs(F.length(key(i)) - len(folded)) <= most) & (key(i) != folded) & (F.levenshtein(key(i), F.lit(folded), most) >= 0)
+    return F.filter(F.when(F.size("kf") > 0, F.sequence(F.lit(0), F.size("kf") - 1)).otherwise(F.array().cast("array<int>")), near)
 
 
 def token_tiers(pg: DataFrame, terms: list[tuple[int, str]], case_sensitive: bool = False) -> DataFrame:
     """FIELDS, tier and term_ord of tiers 0 to 3 (without the fallback) for several token queries, in one pass over pages with toks."""
     low = not case_sensitive
-    df = pg.withColumn("k0", F.transform("toks", lambda t: F.lower(t["token"]) if low else t["token"])).withColumn("k1", F.transform("toks", lambda t: folding.fold(t["token"], low)))
-    df = df.withColumn("k2", F.transform("k1", folding.stem))
+    df = pg.withColumn("k0", F.transform("toks", lambda t: F.lower(t["token"]) if low else t["token"]))
+    # what only some scripts need is decided once a page, not once a token
+    folded_keys = F.when(F.col("concat").rlike(r"^[\x00-\x7F]*$"), F.col("k0")).otherwise(F.transform("toks", lambda t: folding.fold(t["token"], low)))
+    df = df.withColumn("k1", folded_keys)
+    df = df.withColumn("k2", F.transform("k1", folding.stem)).withColumn("kf", F.when(F.col("concat").rlike("[가-힣]"), F.transform("k1", folding.hangul_grown)).otherwise(F.col("k1")))
     every = []
 
     def hits(ord_: int, tier: int, keys: list[str], many: bool) -> Column:
@@ -212,7 +213,7 @@ def token_tiers(pg: DataFrame, terms: list[tuple[int, str]], case_sensitive: boo
         return F.transform(F.filter(first, same), lambda i: F.struct(F.lit(ord_).alias("term_ord"), F.lit(tier).alias("tier"), F.lit(many).alias("many"), F.get("toks", i)["start"].alias("s"), F.get("toks", i + (k - 1))["end"].alias("e")))
 
     def fuzzy_hit(ord_: int):
-        return lambda x: F.struct(F.lit(ord_).alias("term_ord"), F.lit(3).alias("tier"), F.lit(False).alias("many"), x["s"].alias("s"), x["e"].alias("e"))
+        return lambda i: F.struct(F.lit(ord_).alias("term_ord"), F.lit(3).alias("tier"), F.lit(False).alias("many"), F.get("toks", i)["start"].alias("s"), F.get("toks", i)["end"].alias("e"))
 
     for n, q in terms:
         compare = q.lower() if low else q
@@ -222,7 +223,7 @@ def token_tiers(pg: DataFrame, terms: list[tuple[int, str]], case_sensitive: boo
         every.append(hits(n, 1, folded, True))
         every.append(hits(n, 2, [_stem_py(f) for f in folded], True))
         if one and len(folded[0]) >= 4 and re.search("[a-zA-Z]", folded[0]):
-            every.append(F.transform(_fuzzy_hits(folded[0], case_sensitive), fuzzy_hit(n)))
+            every.append(F.transform(_fuzzy_places(folded[0]), fuzzy_hit(n)))
     df = df.select("doc_id", "page", "items", "concat", F.explode(F.concat(*every)).alias("h"))
     df = df.withColumn("hit", T.item_at(F.col("items"), F.col("h.s")))
     s, e = F.col("h.s"), F.col("h.e")
