@@ -83,7 +83,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True)
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=True, sketched=True)
     return found.select("doc_id", "text", "n_lines", "n_removed")
 
 
