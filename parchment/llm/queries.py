@@ -89,7 +89,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"), counts=True)
+    found = substring_dedup.dedup_spans(table(spark, sf_dir, "documents"), counts=True, covering=True)
     return found.select("doc_id", "text", "n_sentences", "n_removed")
 
 

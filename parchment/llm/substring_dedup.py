@@ -3,7 +3,9 @@
 A text is cut into sentences (after ``.``, ``!``, ``?`` or their full-width forms before
 white space, and at line ends). From every sentence starts one span: the shortest run of at
 least ``min_sentences`` sentences with at least ``min_words`` words, or the sentence alone
-if it has ``alone_words`` or more. Spans are hashed to 128 bits over their lower-cased words,
+if it has ``alone_words`` or more. With ``covering``, the shortest run starts at the long
+sentences too, and the shortest run that ends at each sentence is a span as well, so that every
+sentence of a repeated run is in a span that lies within the run. Spans are hashed to 128 bits over their lower-cased words,
 so that case and spacing don't hide a copy, and joined globally: of spans with one hash the
 occurrence with the smallest (doc_id, place) is the first, and every sentence that any other
 occurrence covers is removed, with the white space after it.
@@ -44,8 +46,8 @@ def sentences(text: str) -> list[str]:
     return [m for m in SENTENCE.findall(text) if m]
 
 
-def spans(pieces: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS) -> list[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 16-byte hash) of the span that starts at each sentence; none where the text ends too soon."""
+def spans(pieces: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = False) -> list[tuple[int, int, bytes]]:
+    """(first sentence, sentences, 16-byte hash) of the span that starts at each sentence, none where the text ends too soon; covering adds the runs of long sentences and those by their ends."""
     words = [p.lower().split() for p in pieces]
     sizes = [len(w) for w in words]
     joined = [" ".join(w) for w in words]
@@ -59,9 +61,20 @@ def spans(pieces: list[str], min_sentences: int = MIN_SENTENCES, min_words: int
             end += 1
         if own >= alone_words:
             out.append((i, 1, joined[i]))
-        elif own and have >= min_words and end - i >= min_sentences:
+        if own and have >= min_words and end - i >= min_sentences and (covering or own < alone_words):
             out.append((i, end - i, " ".join(joined[i:end])))
         have -= own if end > i else 0
+    if covering:
+        seen = {(i, n) for i, n, _ in out}
+        start, have = 0, 0
+        for j, own in enumerate(sizes):
+            have += own
+            while j - start >= min_sentences and have - sizes[start] >= min_words:
+                have -= sizes[start]
+                start += 1
+            n = j + 1 - start
+            if own and have >= min_words and n >= min_sentences and (start, n) not in seen:
+                out.append((start, n, " ".join(joined[start : j + 1])))
     return [(i, n, xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))) for i, n, t in out]
 
 
@@ -85,17 +98,18 @@ def _cut(params: tuple):
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = False) -> DataFrame:
     """(doc_id, th, at, n): every non-first occurrence of a repeated span; th is the hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), text.alias("t"))
-    all_spans = store(rows.mapInArrow(_cut((min_sentences, min_words, alone_words)), "doc_id bigint, th bigint, at int, n int, h1 bigint, h2 bigint"))
+    all_spans = store(rows.mapInArrow(_cut((min_sentences, min_words, alone_words, covering)), "doc_id bigint, th bigint, at int, n int, h1 bigint, h2 bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "th")
     first = all_spans.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first"))
     first = store(first.filter("c > 1").select("h1", "h2", "first.doc_id", "first.th", "first.at"))
+    # several spans may start at one place, so the hash tells which of them is first there
     again = all_spans.join(first.select("h1", "h2"), ["h1", "h2"], "left_semi")
-    k = first.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("at").alias("__at"))
-    return again.join(k, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("at") == F.col("__at")), "left_anti").select("doc_id", "th", "at", "n")
+    k = first.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("at").alias("__at"))
+    return again.join(k, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")) & (F.col("at") == F.col("__at")) & (F.col("h1") == F.col("__h1")) & (F.col("h2") == F.col("__h2")), "left_anti").select("doc_id", "th", "at", "n")
 
 
 def _without():
