@@ -12,7 +12,9 @@ from the same messages) on labelled pages.
 Blocks: a run is what stands between two boundaries of block elements, its character
 references decoded, its white space turned into single spaces and trimmed; runs are joined
 by an empty line. ``head``, scripts, styles and other parts that no browser shows are never
-nodes. Tags may be left open or cut off at the end of a page.
+nodes. Tags may be left open or cut off at the end of a page: ``head`` ends at the first tag
+that can't stand in it, and another skipped element without an end tag ends where the block
+around it ends.
 
 Results for odd input: null and empty pages give the empty text, a page without tags is one
 run; each row is taken by itself, so repeated rows give equal results; no rows give no rows.
@@ -37,6 +39,12 @@ TOKEN = re.compile(r"[a-z]+")
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Not shown, or not text: everything up to their end tag is skipped.
 SKIPPED = frozenset("head script style noscript template iframe svg math object canvas audio video select textarea button datalist title".split())
+#: Read raw: what looks like a tag in these is text.
+RAW = frozenset("script style textarea title iframe".split())
+#: May stand in one another.
+NESTED = frozenset("svg object template".split())
+#: Tags that leave ``head`` open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript object script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag in the key closes an open element of the value, unless one of SCOPE stands between.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -61,7 +69,9 @@ def parse(source: str | None) -> Page:
     stack = [("", page.add(-1, ("", ())), False)]  # (tag, node, gold)
     buffer: list[str] = []
     words_in_links = links = 0
-    skip, depth, at = "", 0, 0
+    skip, at = "", 0  # skip: in head
+    endless: set[str] = set()  # skipped tags without an end tag from here on
+    unbalanced: set[str] = set()  # nesting ones that the page doesn't close as often as it opens them
     source = source or ""
 
     def flush() -> None:
@@ -74,13 +84,60 @@ def parse(source: str | None) -> Page:
         words_in_links = 0
 
     def take(piece: str) -> None:
-        nonlocal words_in_links
+        nonlocal words_in_links, skip
+        if skip and piece.strip():  # text ends head
+            skip = ""
         if piece and not skip:
             piece = entities.unescape(piece) if "&" in piece else piece
             buffer.append(piece)
             if links:
                 words_in_links += len(piece.split())
 
+    def own_end(tag: str, start: int) -> int:
+        """Where the next end tag of that name begins, -1 if there is none."""
+        if tag in endless:
+            return -1
+        found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, start)
+        if found is None:
+            endless.add(tag)
+        return found.start() if found else -1
+
+    def skipped_end(tag: str, start: int) -> int:
+        """Where what is skipped ends: past its end tag, or where the block around it ends without one."""
+        stop = own_end(tag, start)
+        if tag in RAW and stop < 0:
+            return len(source)
+        if tag in RAW or tag == "noscript" and stop >= 0 and "<noscript" not in source[start:stop].lower():
+            return source.find(">", stop) + 1 or len(source)
+        level, inner, pos, block = 1, [], start, -1
+        while (t := TAG.search(source, pos)) is not None:
+            pos = t.end()
+            if t[2] is None:
+                continue
+            name, closes = t[2].lower(), bool(t[1])
+            if name in BLOCK:
+                if stop < 0:
+                    return t.start()  # never closed
+                block = t.start() if block < 0 else block
+                if not closes:
+                    inner.append(name)
+                elif name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                elif any(s[0] == name for s in stack):
+                    return t.start()
+            elif name == tag and closes:
+                level -= 1
+                if not level:
+                    return pos
+            elif name == tag and tag in NESTED and tag not in unbalanced:
+                level += 1
+            elif name == tag and tag not in NESTED:
+                return t.start() if block < 0 else block
+            elif not closes and name in RAW and not t[3].rstrip().endswith("/"):
+                pos = skipped_end(name, pos)
+        unbalanced.add(tag)
+        return len(source) if block < 0 else block
+
     while (m := TAG.search(source, at)) is not None:
         if m.start() > at:
             take(source[at : m.start()])
@@ -89,20 +146,17 @@ def parse(source: str | None) -> Page:
         if tag is None:
             continue
         tag, end = tag.lower(), bool(m[1])
-        if skip:
-            if tag == skip:
-                depth += -1 if end else 1
-                skip = skip if depth else ""
-            continue
+        if skip and (end and tag in ("head", "body") or not end and tag not in IN_HEAD):
+            skip = ""
+            if tag == "head":
+                continue
         if not end and tag in SKIPPED:
-            if not m[3].rstrip().endswith("/"):
-                skip, depth = tag, 1
-                if tag in ("script", "style", "textarea", "title", "iframe"):  # what looks like a tag in these is text
-                    stop = re.compile(rf"</{tag}\b", re.I).search(source, m.end())
-                    if stop is None:
-                        at = len(source)
-                        break
-                    at = stop.start()
+            if tag == "head":
+                skip = "head" if all(s[0] in ("", "html") for s in stack) else ""
+            elif not m[3].rstrip().endswith("/"):
+                at = skipped_end(tag, at)
+            continue
+        if skip:
             continue
         if tag == "a":
             links = max(0, links + (-1 if end else 1))
@@ -131,7 +185,7 @@ def parse(source: str | None) -> Page:
             node = page.add(stack[-1][1], (tag, tokens), gold=gold)
             if tag not in VOID:
                 stack.append((tag, node, gold))
-    if at < len(source) and not skip:
+    if at < len(source):
         take(source[at:])
     flush()
     for k in range(len(page.parent) - 1, 0, -1):
