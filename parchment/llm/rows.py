@@ -8,6 +8,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+def col(name: str) -> Column:
+    """The column of that very name, whatever stands in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named c0, c1, ..., which no name of a step's own can meet, and {name: number}."""
+    names = {c: f"c{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(col(c).alias(n) for c, n in names.items())), names
+
+
+def restored(df: DataFrame, names: dict[str, str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of before under their names; ``new`` replaces those of its names and adds the others."""
+    new = new or {}
+    return df.select(*((new[c] if c in new else F.col(n)).alias(c) for c, n in names.items()), *(e.alias(c) for c, e in new.items() if c not in names))
+
+
 def with_made(df: DataFrame, inputs: list[Column], made: list[tuple[str, str]], f: Callable[[], Callable[..., list[pa.Array]]]) -> DataFrame:
     """df with the columns ``made`` (name, type), which replace any of those names.
 
