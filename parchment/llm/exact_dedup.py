@@ -28,6 +28,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from parchment.llm.rows import col, one_of_each
 from parchment.llm.storage import batch_rows, store
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -162,8 +163,8 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row: texts are equal without their ASCII white space."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("cp"), F.encode(text, "UTF-8").alias("t"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.length(text).cast("bigint").alias("cp"), F.encode(text, "UTF-8").alias("t"))
     with batch_rows(docs.sparkSession, BATCH_ROWS):
         local = store(rows.mapInArrow(_local, LOCAL))
         texts = local.filter("norm is not null").select("part", "n", "h", "norm", "best_cp", "best_id", "cnt")
@@ -173,6 +174,13 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 
 def drop_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The documents that stay, with all their columns. Rows without an id stay."""
-    gone = exact_groups(docs, text_col, id_col).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """Of equal texts one row, with all its columns: that with the most code points, then the smallest id.
+
+    Rows go by id and text, so that a text that only shares its id with a copy stays; of rows
+    that share both, one stays. A null id comes last.
+    """
+    groups = store(exact_groups(docs, text_col, id_col).groupBy("doc_id", F.col("text_sha256").alias("sha"), "kept").agg(F.count("*").alias("c")))
+    raw = F.coalesce(col(text_col), F.lit(""))
+    sha = F.sha2(F.encode(F.translate(raw, SPACE.decode(), ""), "UTF-8"), 256)
+    gone, twice = groups.filter("not kept").select("doc_id", "sha"), groups.filter("kept and c > 1").select("doc_id", "sha")
+    return one_of_each(docs, [col(id_col).cast("bigint"), sha], gone, twice, [-F.length(raw)])

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def col(name: str) -> Column:
@@ -46,3 +47,28 @@ def with_made(df: DataFrame, inputs: list[Column], made: list[tuple[str, str]],
     place = {c: str(i) for i, c in enumerate([*kept, *(n for n, _ in made)])}
     order = [*df.columns, *(n for n, _ in made if n not in df.columns)]
     return out.select(*(F.col(place[c]).alias(c) for c in order))
+
+
+def one_of_each(docs: DataFrame, key: list[Column], gone: DataFrame, twice: DataFrame, order: list[Column]) -> DataFrame:
+    """docs without the rows whose key is in ``gone``, and of those whose key is in ``twice`` the first by ``order`` only.
+
+    Keys may be null and may repeat; no other row is touched, whatever id it shares. Only rows
+    with a key in ``twice`` are ordered, so the texts of all others stay where they are read.
+    """
+    rows, names = numbered(docs)
+    marks = [f"k{i}" for i in range(len(key))]
+    own = docs.select(*(col(c).alias(n) for c, n in names.items()), *(k.alias(m) for k, m in zip(key, marks)))
+
+    def meets(other: DataFrame) -> tuple[DataFrame, Column]:
+        other = other.toDF(*(f"o{i}" for i in range(len(key))))
+        on = [own[m].eqNullSafe(other[f"o{i}"]) for i, m in enumerate(marks)]
+        return other, reduce(lambda a, b: a & b, on)
+
+    out = own.join(*meets(gone.unionAll(twice)), "left_anti").select(*names.values())
+    if not twice.isEmpty():
+        again = docs.select(*(col(c).alias(n) for c, n in names.items()), *(k.alias(m) for k, m in zip(key, marks)), *(o.alias(f"s{i}") for i, o in enumerate(order)))
+        other = twice.toDF(*(f"o{i}" for i in range(len(key))))
+        again = again.join(other, reduce(lambda a, b: a & b, [again[m].eqNullSafe(other[f"o{i}"]) for i, m in enumerate(marks)]), "left_semi")
+        first = Window.partitionBy(*marks).orderBy(*(F.col(f"s{i}") for i in range(len(order))), *marks)
+        out = out.unionAll(again.withColumn("n", F.row_number().over(first)).filter("n = 1").select(*names.values()))
+    return restored(out, names)

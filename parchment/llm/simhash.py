@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from parchment.llm.components import components
-from parchment.llm.storage import store
+from parchment.llm.rows import col, one_of_each
+from parchment.llm.storage import release, store
 
 SEED = 42
 SHINGLE = 3
@@ -72,8 +73,8 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp BIGINT), a row for each row of docs."""
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("t")).mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
+    text = F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8")
+    return docs.select(col(id_col).cast("bigint").alias("doc_id"), text.alias("t")).mapInArrow(_fingerprints(shingle), "doc_id bigint, fp bigint")
 
 
 def _syndrome(v: np.ndarray) -> np.ndarray:
@@ -220,19 +221,22 @@ def link(fps: DataFrame, max_distance: int = MAX_DISTANCE, hot_homes: int = HOT_
     if not 0 <= max_distance <= 3:
         raise ValueError("the two halves leave one differing bit to a half for distances of 3 or less")
     spread = fps.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint, home boolean")
-    hot = store(spread.filter("home").groupBy("anchor").count().filter(F.col("count") > hot_homes).select("anchor", F.ceil(F.col("count") / hot_homes).cast("int").alias("salts")))
-    if hot.isEmpty():
-        spread = spread.withColumn("salt", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int")
-        every = F.sequence(F.lit(0), F.col("salts") - 1)
-        spread = spread.join(hot, "anchor", "left")
-        # a split anchor's homes are also guests at the other salts
-        cold = spread.filter("salts is null").select("anchor", "fp", "home", F.lit(0).alias("salt"))
-        split = spread.filter("salts is not null").select("anchor", "fp", F.col("home").alias("h"), own.alias("own"), F.explode(every).alias("salt"))
-        spread = cold.unionByName(split.select("anchor", "fp", (F.col("h") & (F.col("own") == F.col("salt"))).alias("home"), "salt"))
-    dealt = spread.select("anchor", "salt", "fp", "home").repartition("anchor", "salt")
-    return dealt.sortWithinPartitions("anchor", "salt", F.desc("home")).mapInArrow(_compare(max_distance), "u bigint, v bigint")
+    dealt = _salted(spread, ["fp"], "fp", hot_homes)
+    return dealt.mapInArrow(_compare(max_distance), "u bigint, v bigint")
+
+
+def _salted(spread: DataFrame, carried: list[str], vertex: str, hot_homes: int) -> DataFrame:
+    """(anchor, salt, carried, home) dealt by anchor and salt and sorted, homes first.
+
+    Guests of anchors that are nobody's home meet no one and are left out; an anchor with more
+    than hot_homes homes has them salted, its guests go to every salt.
+    """
+    counts = store(spread.filter("home").groupBy("anchor").agg(F.ceil(F.count("*") / hot_homes).cast("int").alias("salts")))
+    # a split anchor's homes are also guests at the other salts
+    every = F.sequence(F.lit(0), F.col("salts") - 1)
+    split = spread.join(counts, "anchor").select("anchor", *carried, F.col("home").alias("h"), F.pmod(F.xxhash64(vertex), F.col("salts")).cast("int").alias("own"), F.explode(every).alias("salt"))
+    dealt = split.select("anchor", "salt", *carried, (F.col("h") & (F.col("own") == F.col("salt"))).alias("home"))
+    return dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
 
 
 def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
@@ -247,7 +251,169 @@ def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return marks.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
+def wide_fingerprint(text: bytes, shingle: int, words: int, seed: int = SEED) -> np.ndarray:
+    """The same over ``words`` times 64 bits: each shingle's hash is mixed anew for every 64 of them."""
+    ws = text.lower().split()
+    if not ws:
+        return np.zeros(words, "<u8")
+    grams = [b" ".join(ws)] if len(ws) <= shingle else map(b" ".join, zip(*(ws[k:] for k in range(shingle))))
+    h = np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    out = np.zeros(words, "<u8")
+    for k in range(words):
+        z = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(z), 1 << 14):
+            ones += np.unpackbits(z[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def anchor_plan(n: int) -> tuple[int, int]:
+    """(bits of a part, parts) for n fingerprints. Both find over 0.94 of the pairs of similarity 0.8:
+    a part of 16 bits brings 0.42 of them together, one of 32 bits 0.07, but has 2^16 times as many anchors."""
+    return (16, 6) if n <= 1 << 24 else (32, 40)
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Differing bits up to which fingerprints link: those expected at that similarity and one deviation more.
+
+    Shingle sets of Jaccard similarity s have a cosine of 2 s / (1 + s), and a bit differs
+    with the angle over pi.
+    """
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def _parts(fps: np.ndarray, width: int, parts: int) -> np.ndarray:
+    """(n, parts): consecutive runs of ``width`` bits of each fingerprint."""
+    return fps.view(f"<u{width // 8}").reshape(len(fps), -1)[:, :parts].astype(np.int64)
+
+
+def _anchors(part: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(home, rows, guests): each value's nearest anchor, and those within covering radius plus one, 2, of it.
+
+    Anchors are the words of the Hamming code on all bits but the highest, times that bit.
+    """
+    top = 1 << (width - 1)
+    v, high = part & (top - 1), part & top
+    s = np.zeros(v.shape, np.int64)
+    for place in range(1, width):
+        s ^= ((v >> (place - 1)) & 1) * place
+    every = np.arange(len(part))
+    rows, keys = [every], [(high ^ top) | _flip(v, s)]
+    for i in range(1, width):
+        j = s ^ i
+        at = every[(s > 0) & (j > i)]
+        rows.append(at)
+        keys.append(high[at] | _flip(_flip(v[at], np.full(len(at), i)), j[at]))
+    return high | _flip(v, s), np.concatenate(rows), np.concatenate(keys)
+
+
+def _spread(width: int, parts: int, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False)
+            raw = b.column(1)
+            fps = np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(-1, words)
+            value = _parts(np.ascontiguousarray(fps), width, parts)
+            for p in range(parts):
+                home, rows, keys = _anchors(value[:, p], width)
+                at = np.concatenate([np.arange(len(node)), rows])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(p << 32 | np.concatenate([home, keys])), pa.array(node[at]), raw.take(pa.array(at)), pa.array(np.arange(len(at)) < len(node))],
+                    names=["anchor", "node", "fp", "home"],
+                )
+
+    return run
+
+
+def _compare_wide(most: int, words: int):
+    """Rows sorted by (anchor, salt), homes first; yields stars of links between nodes, anchor by anchor.
+
+    Homes are held, guests stream past them batch by batch, so that memory follows the homes
+    of an anchor, which are split, and not its guests.
+    """
+
+    def links(hn, hf, gn, gf):
+        found = []
+        wide = max(1, CELLS // max(1, len(gn) * words))
+        for at in range(0, len(hn), wide):
+            apart = np.zeros((len(hn[at : at + wide]), len(gn)), np.uint16)
+            for w in range(words):
+                apart += np.bitwise_count(hf[at : at + wide, None, w] ^ gf[None, :, w])
+            i, j = np.nonzero(apart <= most)
+            a, b = hn[at : at + wide][i], gn[j]
+            off = a != b
+            found.append(forest(a[off], b[off]))
+        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hn, hf = None, np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
+            node, home = b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+            fps = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, words)
+            start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            a, v = [], []
+            for x, y in zip(start, np.r_[start[1:], len(keys)]):
+                if key is None or tuple(keys[x]) != key:
+                    key, hn, hf = tuple(keys[x]), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+                new = home[x:y]
+                if new.any():
+                    hn, hf = np.concatenate([hn, node[x:y][new]]), np.concatenate([hf, fps[x:y][new]])
+                if len(hn):
+                    p, q = links(hn, hf, node[x:y], fps[x:y])
+                    a.append(p), v.append(q)
+            if a:
+                p, q = forest(np.concatenate(a), np.concatenate(v))
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["u", "v"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 4, hot_homes: int = HOT_HOMES) -> DataFrame:
+    """(doc_id, th, group) for each row: documents whose sets of word shingles have about that Jaccard similarity or more.
+
+    The similarity is taken from fingerprints of 64 * ``words`` bits, whose deviation at 0.8 is
+    about 0.03 (``most_bits``). Only documents that have words are compared; all without form
+    one group. th is the hash of the text.
+    """
+    text = F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8")
+
+    def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, shingle, words).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "th", "fp"])
+
+    marks = store(docs.select(col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(col(text_col)).alias("th"), text.alias("t")).mapInArrow(marks_of, "doc_id bigint, th bigint, fp binary"))
+    fps = store(marks.select("fp").distinct().select(F.monotonically_increasing_id().alias("node"), "fp"))
+    width, parts = anchor_plan(fps.count())
+    if width * parts > 64 * words:
+        return similar_groups(docs, text_col, id_col, shingle, similarity, -(-width * parts // 64), hot_homes)
+    spread = fps.mapInArrow(_spread(width, parts, words), "anchor bigint, node bigint, fp binary, home boolean")
+    dealt = _salted(spread, ["node", "fp"], "node", hot_homes)
+    edges = store(dealt.mapInArrow(_compare_wide(most_bits(similarity, 64 * words), words), "u bigint, v bigint"))
+    roots = components(edges)
+    groups = store(fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group")))
+    out = marks.join(groups, "fp").select("doc_id", "th", "group")
+    release(edges)
+    return out
+
+
 def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
-    """One document of each group, the one with the smallest id, with all its columns. Rows without an id stay."""
-    gone = near_groups(docs, text_col, id_col, **kw).filter("doc_id is not null").filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each group of ``similar_groups``, the one with the smallest id (null last), with all its columns.
+
+    Rows go by id and text, so that a text that only shares its id with a copy is judged by
+    itself; of rows that share both, one stays.
+    """
+    found = store(similar_groups(docs, text_col, id_col, **kw).groupBy("doc_id", "th", "group").agg(F.count("*").alias("c")))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    first = store(found.groupBy("group").agg(F.min(place).alias("first")).select(F.col("group").alias("g"), F.col("first.doc_id").alias("i"), F.col("first.th").alias("h")))
+    stays = found.join(first, F.col("group") == F.col("g")).select("doc_id", "th", "c", (F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).alias("stays"))
+    stays = store(stays)
+    gone, twice = stays.filter("not stays").select("doc_id", "th"), stays.filter("stays and c > 1").select("doc_id", "th")
+    return one_of_each(docs, [col(id_col).cast("bigint"), F.xxhash64(col(text_col))], gone, twice, [])
