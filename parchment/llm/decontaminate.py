@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parchment.llm.rows import numbered, restored
 from parchment.llm.storage import store
 
 WINDOW = 10
@@ -119,8 +120,9 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, max_share: float = 0.0,
     """
     hits = find_hits(docs, bench, text_col=text_col, id_col=id_col, **kw).filter("at is not null")
     g = hits.groupBy("doc_id", "th").agg(F.max("n_words").alias("n"), F.sort_array(F.collect_set(F.struct("at", "size"))).alias("spans"))
-    bad = store(g.filter(_covered(F.col("spans")) > F.lit(max_share) * F.col("n")).select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_th")))
-    return docs.join(bad, F.col("__bad_id").eqNullSafe(docs[id_col]) & (F.xxhash64(docs[text_col]) == F.col("__bad_th")), "left_anti")
+    bad = store(g.filter(_covered(F.col("spans")) > F.lit(max_share) * F.col("n")).select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_th")))
+    rows, names = numbered(docs)
+    return restored(rows.join(bad, F.col("bad_id").eqNullSafe(F.col(names[id_col])) & (F.xxhash64(F.col(names[text_col])) == F.col("bad_th")), "left_anti"), names)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A written table cuts lineage: a lost executor costs its tasks, not the stages before them.
 The folder is the session's ``spark.checkpoint.dir``; only where the session names none (as
-in local tests) is one made.
+in local tests) is one made, and only for a local master: executors elsewhere don't share it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="parchment-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()

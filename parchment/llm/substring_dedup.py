@@ -1,11 +1,13 @@
 """Substring dedup over sliding spans of sentences.
 
 A text is cut into sentences (after ``.``, ``!``, ``?`` or their full-width forms before
-white space, and at line ends). From every sentence starts one span: the shortest run of at
-least ``min_sentences`` sentences with at least ``min_words`` words, or the sentence alone
-if it has ``alone_words`` or more. With ``covering``, the shortest run starts at the long
-sentences too, and the shortest run that ends at each sentence is a span as well, so that every
-sentence of a repeated run is in a span that lies within the run. Spans are hashed to 128 bits over their lower-cased words,
+white space, and at line ends). Runs of at least ``min_sentences`` sentences with at least
+``min_words`` words are what is looked for; of the quadratically many runs of a text those
+are hashed that decide the result: the shortest that starts at each sentence and the shortest
+that ends there. A run is repeated only if all runs within it are, and each of its sentences
+is in a shortest run that lies within it, so the sentences removed are those that hashing
+every run would remove. A sentence of ``alone_words`` or more is a span by itself too. Without
+``covering`` only the shortest runs by their starts are hashed, which leaves tails of runs. Spans are hashed to 128 bits over their lower-cased words,
 so that case and spacing don't hide a copy, and joined globally: of spans with one hash the
 occurrence with the smallest (doc_id, place) is the first, and every sentence that any other
 occurrence covers is removed, with the white space after it.
@@ -31,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from parchment.llm.rows import with_made
+from parchment.llm.rows import col, numbered, restored, with_made
 from parchment.llm.storage import store
 
 MIN_SENTENCES = 2
@@ -46,7 +48,7 @@ def sentences(text: str) -> list[str]:
     return [m for m in SENTENCE.findall(text) if m]
 
 
-def spans(pieces: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = False) -> list[tuple[int, int, bytes]]:
+def spans(pieces: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = True) -> list[tuple[int, int, bytes]]:
     """(first sentence, sentences, 16-byte hash) of the span that starts at each sentence, none where the text ends too soon; covering adds the runs of long sentences and those by their ends."""
     words = [p.lower().split() for p in pieces]
     sizes = [len(w) for w in words]
@@ -98,10 +100,10 @@ def _cut(params: tuple):
     return run
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone_words: int = ALONE_WORDS, covering: bool = True) -> DataFrame:
     """(doc_id, th, at, n): every non-first occurrence of a repeated span; th is the hash of the text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), text.alias("t"))
+    text = F.coalesce(col(text_col), F.lit(""))
+    rows = docs.select(col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(col(text_col)).alias("th"), text.alias("t"))
     all_spans = store(rows.mapInArrow(_cut((min_sentences, min_words, alone_words, covering)), "doc_id bigint, th bigint, at int, n int, h1 bigint, h2 bigint"))
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at", "th")
     first = all_spans.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(place).alias("first"))
@@ -127,10 +129,14 @@ def _without():
 
 
 def dedup_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", counts: bool = False, **kw) -> DataFrame:
-    """docs without the sentences that non-first repeated spans cover, all columns kept; counts adds n_sentences and n_removed."""
-    cut = store(repeated_spans(docs, text_col, id_col, **kw).groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_list("at").alias("__at"), F.collect_list("n").alias("__n")))
-    j = docs.join(cut, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__th")), "left")
-
-    out = with_made(j, [F.col(text_col), F.col("__at"), F.col("__n")], [(text_col, "string"), ("__sentences", "bigint"), ("__removed", "bigint")], _without)
-    more = [F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed")] if counts else []
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns), *more)
+    """docs without the sentences that non-first repeated spans cover, all columns kept, whatever their names; counts adds n_sentences and n_removed, which replace columns of those names."""
+    cut = store(repeated_spans(docs, text_col, id_col, **kw).groupBy(F.col("doc_id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_list("at").alias("g_at"), F.collect_list("n").alias("g_n")))
+    rows, names = numbered(docs)
+    text = F.col(names[text_col])
+    j = rows.join(cut, F.col(names[id_col]).cast("bigint").eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("g_th")), "left")
+    made = [("g_text", "string"), ("g_sentences", "bigint"), ("g_removed", "bigint")]
+    out = with_made(j, [text, F.col("g_at"), F.col("g_n")], made, _without)
+    new = {text_col: F.col("g_text")}
+    if counts:
+        new |= {"n_sentences": F.col("g_sentences"), "n_removed": F.col("g_removed")}
+    return restored(out, names, new)

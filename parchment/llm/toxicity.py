@@ -11,13 +11,16 @@ The model is fitted on the driver from at most ``max_toxic`` and ``max_clean`` l
 at every corpus size), and the intercept is then set back to the class shares among all
 labelled rows. Only terms whose presence depends on the label (chi-square of at least
 ``min_chi2``) get parameters, at most ``max_terms``; every other term of a text counts
-nothing, so the model that is sent to the tasks has a fixed bound. Every document's whole
-text is scored.
+nothing, so the model that is sent to the tasks has a fixed bound. Of a document that is
+learnt from, at most ``max_doc_terms`` terms, those with the smallest hashes, reach the
+driver, and of rows that repeat an id only ``max_rows_per_id``; every document's whole text is scored.
 
 Results for odd input: null and empty texts have no terms and score the intercept; without
 labelled rows of both classes the score is the smoothed class share of all; labels of null
-are no labels; a doc_id labelled twice counts as often as it is labelled; no documents give
-no rows.
+are no labels; a doc_id labelled twice counts as often as it is labelled; very long texts are
+scored whole; ties between ids in the choice of rows are settled by the id; columns of any name
+are kept, dots included, except that ``score`` replaces the column it is told to make; no
+documents give no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
+from parchment.llm.rows import col, numbered, restored
+
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
 RANK = 4
@@ -126,20 +131,26 @@ def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, rank: in
     return Model(w0, terms[keep], w.astype(np.float32), v.astype(np.float32))
 
 
-def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [np.unique(np.array([t for w in text_words(x) for t in word_terms(w)], np.uint64)).view(np.int64) for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
+def _terms(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.unique(np.array([t for w in text_words(x) for t in word_terms(w)], np.uint64))[:most].view(np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000, **kw) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000, max_doc_terms: int = 50_000, max_rows_per_id: int = 8, **kw) -> Model:
     """A model from the labelled documents. labels: (id_col, label_col), the rows to learn from and no others."""
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("label"))
+    known = labels.filter(col(label_col).isin(0, 1)).select(col(id_col).alias("known_id"), col(label_col).cast("int").alias("label"))
     shares = dict(known.groupBy("label").count().collect())
-    mixed = F.xxhash64(F.col("__id"), F.lit(7))
-    picked = known.filter("label = 1").orderBy(mixed, "__id").limit(max_toxic).unionAll(known.filter("label = 0").orderBy(mixed, "__id").limit(max_clean))
-    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("t")).join(F.broadcast(picked), F.col("__doc") == F.col("__id"))
-    rows = texts.select("label", "t").mapInArrow(_terms, "label int, terms array<bigint>").toArrow()
+    mixed = F.xxhash64(F.col("known_id"), F.lit(7))
+    picked = known.filter("label = 1").orderBy(mixed, "known_id").limit(max_toxic).unionAll(known.filter("label = 0").orderBy(mixed, "known_id").limit(max_clean))
+    texts = docs.select(col(id_col).alias("doc"), col(text_col).alias("t")).join(F.broadcast(picked), F.col("doc") == F.col("known_id"))
+    # equal rows are as good as one to learn from; of rows that share an id but not a text the first few by hash
+    own = Window.partitionBy("known_id", "label").orderBy(F.xxhash64("t"))
+    texts = texts.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= max_rows_per_id)
+    rows = texts.select("label", "t").mapInArrow(_terms(max_doc_terms), "label int, terms array<bigint>").toArrow()
     data = [(t.values.to_numpy(zero_copy_only=False).view(np.uint64), y) for t, y in zip(rows.column("terms"), rows.column("label").to_pylist())]
     pos, neg = shares.get(1, 0), shares.get(0, 0)
     data.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))  # the same model whatever the order of arrival
@@ -158,22 +169,23 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     import pandas as pd
 
     run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out, F.pandas_udf(run, "double")(F.coalesce(col(text_col), F.lit(""))))
 
 
 def held_out(id_col: str = "doc_id"):
     """Rows that no model learns from: crc32 of the id as text leaves 1 when divided by 3."""
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return F.coalesce(F.crc32(col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs, by a model that learnt from the other two thirds' labels."""
     model = train(docs, labels.filter(~held_out(id_col)), text_col=text_col, id_col=id_col, **kw)
-    rows = score(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t")), model, "t")
+    rows = score(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("t")), model, "t")
     return rows.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
     model = train(docs, labels.filter(~held_out(id_col)), text_col=text_col, id_col=id_col, **kw)
-    return score(docs, model, text_col, "__toxic").filter(F.col("__toxic") < threshold).select(*docs.columns)
+    rows, names = numbered(docs)
+    return restored(score(rows, model, names[text_col], "toxicity").filter(F.col("toxicity") < threshold), names)
