@@ -83,3 +83,6 @@ LEAKS = [
     "--- END OF PAPER ---",
     "a specialized academic paper analysis assistant",
 ]
+
+#: Colors of search terms, in turn.
+PALETTE = ["#FFD500", "#FF6B6B", "#4ECDC4", "#A78BFA", "#FB923C", "#34D399", "#60A5FA", "#F472B6", "#FBBF24", "#818CF8"]

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW_MS, MOST = 60_000, 30
 #: Daily characters a client and in all, by endpoint; unknown endpoints get the last.
-CLIENT_LIMITS = {"translate": 50_000, "chat": 100_000}
-GLOBAL_LIMITS = {"translate": 500_000, "chat": 1_000_000}
+CLIENT_LIMITS = {"translate": 50_000, "embed": 100_000, "chat": 100_000}
+GLOBAL_LIMITS = {"translate": 500_000, "embed": 1_000_000, "chat": 1_000_000}
 OTHER_CLIENT, OTHER_GLOBAL = 50_000, 500_000
 CHAT_GLOBAL_CAP, CHAT_CLIENT_CAP = 30_000, 5_000
 
@@ -33,6 +33,26 @@ def client_ip(header: Column) -> Column:
     return F.coalesce(F.element_at(F.when(F.size(some) > 0, some), -1), F.lit("unknown"))
 
 
+def daily_limit(endpoint: Column, everyone: bool = False, limits: dict[str, int] | None = None, other: int | None = None) -> Column:
+    """The endpoint's daily characters a client, or of all together; unknown and null endpoints get the last resort."""
+    limits = limits or (GLOBAL_LIMITS if everyone else CLIENT_LIMITS)
+    other = other or (OTHER_GLOBAL if everyone else OTHER_CLIENT)
+    out = F.lit(other)
+    for name, n in limits.items():
+        out = F.when(endpoint == name, F.lit(n)).otherwise(out)
+    return out
+
+
+def usage_report(used: DataFrame, endpoints: list[str], keys: list[str], limit: Column) -> DataFrame:
+    """used (keys, endpoint, used) -> (keys, endpoint, used, most, percent) for each key and each of the endpoints.
+
+    Endpoints that a key never asked have a row of zero. limit: a column of ``endpoint``.
+    """
+    each = used.select(*keys).distinct().withColumn("endpoint", F.explode(F.array(*map(F.lit, endpoints))))
+    all_rows = each.join(used.select(*keys, "endpoint", "used"), [*keys, "endpoint"], "left").withColumn("used", F.coalesce("used", F.lit(0).cast("bigint")))
+    return all_rows.withColumn("most", limit.cast("bigint")).withColumn("percent", F.least(F.lit(100.0), F.round(100.0 * F.col("used") / F.col("most"))))
+
+
 def throttle(requests: DataFrame, key: str = "key", ts: str = "ms", id_col: str = "id", window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """(key, id, denied, retry_after_ms, 0 if not denied): windows start at a key's first request after the last one ran out."""
     rows = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i")))).alias("rs"))

@@ -155,3 +155,67 @@ def ngrams(docs: DataFrame) -> DataFrame:
     longer = c.filter("k > 1").select("doc_id", F.explode(F.split("g", " ")).alias("g"), F.col("at").alias("before")).groupBy("doc_id", "g").agg(F.min("before").alias("before"))
     c = c.join(longer, ["doc_id", "g"], "left").filter("k > 1 or before is null or before > at")
     return ranked(c.withColumnRenamed("g", "term"), "k", "n")
+
+
+def ngram_pages(top: DataFrame, docs: DataFrame) -> DataFrame:
+    """top (doc_id, k, term, ..) with pages: those in whose own kept tokens the words follow one another, ascending.
+
+    A gram that only exists across a page break has none.
+    """
+    w = Window.partitionBy("doc_id", "page").orderBy("n")
+    s = sequence(docs).withColumn("b", F.lead("term", 1).over(w)).withColumn("c", F.lead("term", 2).over(w))
+    two = F.when(F.col("b").isNotNull(), F.concat_ws(" ", "term", "b"))
+    three = F.when(F.col("c").isNotNull(), F.concat_ws(" ", "term", "b", "c"))
+    held = s.select("doc_id", "page", F.explode(F.array("term", two, three)).alias("term")).filter("term is not null")
+    held = held.join(top.select("doc_id", "term"), ["doc_id", "term"], "left_semi").groupBy("doc_id", "term").agg(F.sort_array(F.collect_set("page")).alias("pages"))
+    return top.join(held, ["doc_id", "term"], "left").withColumn("pages", F.coalesce("pages", F.array().cast("array<int>")))
+
+
+def ngram_contexts(top: DataFrame, docs: DataFrame, most: int = 3) -> DataFrame:
+    """(doc_id, term, k, page, item_index, snippet): the first items in which a gram's words follow each other with at most 30 characters between."""
+    terms = top.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    its = all_pages(docs).select("doc_id", "page", F.explode("items").alias("o")).select("doc_id", "page", "o.item_index", "o.text")
+    pattern = F.concat(F.lit(r"(?isu)\Q"), F.array_join(F.split("term", " "), "\\E[\\s\\S]{0,30}\\Q"), F.lit(r"\E"))
+    pairs = its.join(terms, "doc_id").select("doc_id", "page", "item_index", "text", F.explode("terms").alias("term"))
+    # a substring test of the first word spares most items the expression
+    pairs = pairs.filter(F.lower("text").contains(F.substring_index("term", " ", 1))).filter(F.regexp_like("text", pattern))
+    w = Window.partitionBy("doc_id", "term").orderBy("page", "item_index")
+    return pairs.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("doc_id", "term", "k", "page", "item_index", F.left("text", F.lit(120)).alias("snippet"))
+
+
+def textrank_top(docs: DataFrame) -> DataFrame:
+    """(doc_id, rank, term, score, frequency, percent, color): the best terms by graph rank, scores over the best's."""
+    raw = textrank(docs).withColumn("raw", F.round("raw", 9))
+    top = ranked(raw, "n").select("doc_id", "rank", "term", "score")
+    t = top.join(tf_df(docs).select("doc_id", "term", "tf"), ["doc_id", "term"]).join(totals(docs), "doc_id")
+    return t.select("doc_id", "rank", "term", F.round("score", 6).alias("score"), F.col("tf").alias("frequency"), F.round(F.col("tf") / F.col("n_tokens") * 100, 6).alias("percent"), color(F.col("rank")).alias("color"))
+
+
+ALGORITHMS = ("tfidf", "textrank", "ngram")
+
+
+def keywords(docs: DataFrame, algorithms: tuple[str, ...] = ALGORITHMS) -> DataFrame:
+    """(doc_id, algorithm, rank, term, score, frequency, percent, color, tag, pages, contexts): the lists of the chosen algorithms.
+
+    pages is ascending; contexts are at most three of (page, item_index, snippet).
+    """
+    n = totals(docs).select("doc_id", "n_tokens")
+    lists = []
+    for name in algorithms:
+        if name == "ngram":
+            g = ngrams(docs).join(n, "doc_id")
+            tag = F.element_at(F.array(F.lit(None).cast("string"), F.lit("bigram"), F.lit("trigram")), F.col("k"))
+            t = g.select("doc_id", "rank", "term", F.round("score", 6).alias("score"), "frequency", F.round(F.col("frequency") / F.col("n_tokens") * 100, 6).alias("percent"), color(F.col("rank")).alias("color"), tag.alias("tag"))
+            t, found = ngram_pages(t, docs), ngram_contexts(t, docs)
+        elif name in ("tfidf", "textrank"):
+            t = tfidf(docs) if name == "tfidf" else textrank_top(docs).withColumn("tag", F.when(F.col("term").isin(*V.UNITS), "unit"))
+            t, found = with_pages(t, docs), contexts(t, docs)
+        else:
+            raise ValueError(f"unknown algorithm {name}")
+        seen = found.groupBy("doc_id", "term").agg(F.sort_array(F.collect_list(F.struct("page", "item_index", "snippet"))).alias("contexts"))
+        t = t.join(seen, ["doc_id", "term"], "left").withColumn("algorithm", F.lit(name))
+        lists.append(t.select("doc_id", "algorithm", "rank", "term", "score", "frequency", "percent", "color", "tag", "pages", "contexts"))
+    out = lists[0]
+    for t in lists[1:]:
+        out = out.unionByName(t)
+    return out

@@ -77,15 +77,17 @@ def kw_cooccurrence(spark, d):
     return K.cooccurrence(docs(spark, d))
 
 
-@query("kw_textrank", f"""WITH RECURSIVE {COOC}, e AS (SELECT doc_id, a AS s, b AS t, w FROM pr UNION ALL SELECT doc_id, b, a, w FROM pr), o AS (SELECT doc_id, s, sum(w) AS w FROM e GROUP BY ALL), en AS (SELECT e.doc_id, e.s, e.t, e.w / o.w AS p FROM e JOIN o ON o.doc_id = e.doc_id AND o.s = e.s),
+TEXTRANK = f"""{COOC}, e AS (SELECT doc_id, a AS s, b AS t, w FROM pr UNION ALL SELECT doc_id, b, a, w FROM pr), o AS (SELECT doc_id, s, sum(w) AS w FROM e GROUP BY ALL), en AS (SELECT e.doc_id, e.s, e.t, e.w / o.w AS p FROM e JOIN o ON o.doc_id = e.doc_id AND o.s = e.s),
 nd AS (SELECT doc_id, term, count(*) OVER (PARTITION BY doc_id) AS n FROM tfdf),
 r AS (SELECT doc_id, term, n, 1.0::DOUBLE / n AS r, 1.0::DOUBLE AS diff, 0 AS it FROM nd
   UNION ALL
   SELECT doc_id, term, n, r, sum(abs(r - old)) OVER (PARTITION BY doc_id) AS diff, it FROM (
     SELECT r.doc_id, r.term, r.n, r.r AS old, 0.15 / r.n + 0.85 * coalesce(f.s, 0) AS r, r.it + 1 AS it FROM r
     LEFT JOIN (SELECT en.doc_id, en.t, sum(en.p * r.r) AS s FROM r JOIN en ON en.doc_id = r.doc_id AND en.s = r.term GROUP BY ALL) f ON f.doc_id = r.doc_id AND f.t = r.term
-    WHERE r.it < 30 AND r.diff >= 1e-4))
-SELECT doc_id, term, round(r, 6) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY it DESC) = 1""")
+    WHERE r.it < 30 AND r.diff >= 1e-4))"""
+
+
+@query("kw_textrank", f"WITH RECURSIVE {TEXTRANK} SELECT doc_id, term, round(r, 6) AS rank FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY it DESC) = 1")
 def kw_textrank(spark, d):
     return K.textrank(docs(spark, d)).select("doc_id", "term", F.round("raw", 6).alias("rank"))
 
@@ -103,24 +105,36 @@ def kw_ngram(spark, d):
     return K.ngrams(docs(spark, d)).select("doc_id", "rank", "term", "frequency", F.round("score", 6).alias("score"))
 
 
-@query("kw_all", f"WITH {TFIDF}, {NGRAM[len(BASE) + 1:].strip()} SELECT doc_id, 'tfidf' AS algorithm, rank, term FROM top UNION ALL SELECT doc_id, 'ngram', CAST(row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, k, n) AS INT) AS rank, g FROM gk QUALIFY rank <= 20")
+RANKED = """gt AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, k, n) AS INT) AS rank, max(raw) OVER (PARTITION BY doc_id) AS best FROM gk QUALIFY rank <= 20)"""
+TOP_GRAPH = TEXTRANK + """,
+last AS (SELECT doc_id, term, round(r, 9) AS raw FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, term ORDER BY it DESC) = 1),
+gr20 AS (SELECT l.doc_id, l.term, f.tf, l.raw, CAST(row_number() OVER (PARTITION BY l.doc_id ORDER BY l.raw DESC, f.first) AS INT) AS rank, max(l.raw) OVER (PARTITION BY l.doc_id) AS best FROM last l JOIN tfdf f ON f.doc_id = l.doc_id AND f.term = l.term QUALIFY rank <= 20)"""
+
+
+@query("kw_textrank_top", f"WITH RECURSIVE {TOP_GRAPH} SELECT g.doc_id, rank, term, round(raw / best, 6) AS score, tf AS frequency, round(tf / n_tokens * 100, 6) AS percent, {COLOR} AS color FROM gr20 g JOIN tot USING (doc_id)")
+def kw_textrank_top(spark, d):
+    return K.textrank_top(docs(spark, d))
+
+
+@query("kw_all", f"WITH RECURSIVE {TOP_GRAPH}, {NGRAM[len(BASE) + 1:].strip()}, {RANKED}, {TFIDF[len(BASE) + 1:].strip()} SELECT doc_id, 'tfidf' AS algorithm, rank, term FROM top UNION ALL SELECT doc_id, 'ngram', rank, g FROM gt UNION ALL SELECT doc_id, 'textrank', rank, term FROM gr20")
 def kw_all(spark, d):
-    """The lists of the two counting algorithms side by side; kw_textrank has the third's whole ranking."""
+    """The lists of the three algorithms side by side."""
     t = K.tfidf(docs(spark, d)).select("doc_id", F.lit("tfidf").alias("algorithm"), "rank", "term")
-    return t.unionAll(K.ngrams(docs(spark, d)).select("doc_id", F.lit("ngram").alias("algorithm"), "rank", "term"))
+    t = t.unionAll(K.ngrams(docs(spark, d)).select("doc_id", F.lit("ngram").alias("algorithm"), "rank", "term"))
+    return t.unionAll(K.textrank_top(docs(spark, d)).select("doc_id", F.lit("textrank").alias("algorithm"), "rank", "term"))
 
 
-@query("kw_ngram_contexts", rf"""WITH {NGRAM}, t20 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC, k, n) AS rk FROM gk QUALIFY rk <= 20), t AS (SELECT doc_id, g FROM t20 WHERE k > 1 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rk) <= 5)
-SELECT t.doc_id, g AS term, CAST(row_number() OVER w AS INT) AS k, page, item_index FROM t JOIN items i ON i.doc_id = t.doc_id AND regexp_matches(text, '(?is)' || array_to_string(string_split(g, ' '), '[\s\S]{{0,30}}')) WINDOW w AS (PARTITION BY t.doc_id, g ORDER BY page, item_index) QUALIFY k <= 3""")
-def kw_ngram_contexts(spark, d):
-    """First items in which the words of an n-gram follow each other with at most 30 characters between."""
-    from pyspark.sql import Window
+GRAM_PAGES = """pgr AS (SELECT doc_id, page, term AS g FROM seq UNION ALL SELECT doc_id, page, term || ' ' || b FROM (SELECT *, lead(term) OVER (PARTITION BY doc_id, page ORDER BY n) AS b FROM seq) WHERE b IS NOT NULL
+  UNION ALL SELECT doc_id, page, term || ' ' || b || ' ' || c FROM (SELECT *, lead(term) OVER w AS b, lead(term, 2) OVER w AS c FROM seq WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)) WHERE c IS NOT NULL)"""
+
 
-    from parchment.sources.tables import items
+@query("kw_ngram_pages", f"WITH {NGRAM}, {RANKED}, {GRAM_PAGES} SELECT t.doc_id, t.g AS term, coalesce(string_agg(DISTINCT p.page, ',' ORDER BY p.page), '') AS pages FROM gt t LEFT JOIN pgr p ON p.doc_id = t.doc_id AND p.g = t.g GROUP BY t.doc_id, t.g")
+def kw_ngram_pages(spark, d):
+    found = K.ngram_pages(K.ngrams(docs(spark, d)), docs(spark, d))
+    return found.select("doc_id", "term", F.array_join(F.transform("pages", lambda p: p.cast("string")), ",").alias("pages"))
 
-    g = K.ngrams(docs(spark, d)).filter("k > 1")
-    g = g.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))).filter("r <= 5").select("doc_id", "term")
-    pattern = F.concat(F.lit(r"(?isu)\Q"), F.array_join(F.split("term", " "), "\\E[\\s\\S]{0,30}\\Q"), F.lit(r"\E"))
-    j = items(docs(spark, d)).select("doc_id", "page", "item_index", "text").join(g, "doc_id").filter(F.regexp_like("text", pattern))
-    w = Window.partitionBy("doc_id", "term").orderBy("page", "item_index")
-    return j.withColumn("k", F.row_number().over(w)).filter("k <= 3").select("doc_id", "term", "k", "page", "item_index")
+
+@query("kw_ngram_contexts", rf"""WITH {NGRAM}, {RANKED}
+SELECT t.doc_id, g AS term, CAST(row_number() OVER w AS INT) AS k, page, item_index, left(text, 120) AS snippet FROM (SELECT doc_id, g FROM gt) t JOIN items i ON i.doc_id = t.doc_id AND contains(lower(text), string_split(g, ' ')[1]) AND regexp_matches(text, '(?is)' || array_to_string(string_split(g, ' '), '[\s\S]{{0,30}}')) WINDOW w AS (PARTITION BY t.doc_id, g ORDER BY page, item_index) QUALIFY k <= 3""")
+def kw_ngram_contexts(spark, d):
+    return K.ngram_contexts(K.ngrams(docs(spark, d)), docs(spark, d))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from parchment.functions import fold as folding
+from parchment.functions.fixed_values import PALETTE
 from parchment.operators import search as S
 from parchment.plans import sql
 from parchment.plans.registry import query
@@ -13,7 +14,6 @@ from parchment.sources.tables import pages, table
 ROW = 'doc_id, page, item_index, "start", matched, context, char_start, char_end, n_spans'
 CTE = sql.TOKENS + ", hits AS (@HITS@)," + sql.LOCATED
 TERMS = [("of the", "#fde047", "of the"), ("onthe", "#86efac", "onthe"), ("thing", "#93c5fd", "thing")]
-PALETTE = ["#fde047", "#86efac", "#93c5fd", "#fca5a5", "#d8b4fe", "#fdba74", "#67e8f9", "#f9a8d4", "#bef264", "#cbd5e1"]
 
 
 def docs(spark, d):

@@ -101,10 +101,23 @@ def quota_global(spark, d):
     return A.quota(requests(spark, d), ["endpoint", "day"], F.lit(20_000))
 
 
-@query("quota_report", _quota_sql("endpoint, client, day", 1000, "SELECT endpoint, client, day, max(used) AS used, 1000 AS most, least(100, round(100.0 * max(used) / 1000)) AS percent FROM r GROUP BY ALL"))
+REPORTED = ["click", "view", "translate"]
+
+
+@query("quota_report", _quota_sql("endpoint, client, day", 1000, """, u AS (SELECT endpoint, client, day, max(used) AS used FROM r GROUP BY ALL), k AS (SELECT DISTINCT client, day, e.endpoint FROM u, (VALUES ('click'), ('view'), ('translate')) e(endpoint))
+SELECT k.client, k.day, k.endpoint, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(CASE WHEN k.endpoint = 'translate' THEN 50000 ELSE 1000 END AS BIGINT) AS most, CAST(least(100, round(100.0 * coalesce(used, 0) / CASE WHEN k.endpoint = 'translate' THEN 50000 ELSE 1000 END)) AS DOUBLE) AS percent FROM k LEFT JOIN u ON u.client = k.client AND u.day = k.day AND u.endpoint = k.endpoint"""))
 def quota_report(spark, d):
+    """What each client used of each reported endpoint on each of its days, zero where it used none."""
     g = quota_client(spark, d).groupBy("endpoint", "client", "day").agg(F.max("used").alias("used"))
-    return g.withColumn("most", F.lit(1000)).withColumn("percent", F.least(F.lit(100.0), F.round(100.0 * F.col("used") / 1000)))
+    limit = A.daily_limit(F.col("endpoint"), limits={"translate": A.CLIENT_LIMITS["translate"]}, other=1000)
+    return A.usage_report(g, REPORTED, ["client", "day"], limit)
+
+
+@query("quota_limits", "SELECT e AS endpoint, CAST(CASE WHEN e = 'translate' THEN 50000 WHEN e IN ('embed', 'chat') THEN 100000 ELSE 50000 END AS BIGINT) AS client_limit, CAST(CASE WHEN e = 'translate' THEN 500000 WHEN e IN ('embed', 'chat') THEN 1000000 ELSE 500000 END AS BIGINT) AS global_limit FROM (SELECT DISTINCT event_type AS e FROM events UNION ALL SELECT unnest(['translate', 'embed', 'chat']))")
+def quota_limits(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("endpoint")).distinct()
+    e = e.unionAll(spark.createDataFrame([("translate",), ("embed",), ("chat",)], "endpoint string"))
+    return e.select("endpoint", A.daily_limit(F.col("endpoint")).cast("bigint").alias("client_limit"), A.daily_limit(F.col("endpoint"), everyone=True).cast("bigint").alias("global_limit"))
 
 
 @query("admission", f"""WITH RECURSIVE {REQ}, o AS (SELECT *, row_number() OVER (PARTITION BY endpoint, day ORDER BY ms, id) AS k FROM req),
@@ -197,15 +210,19 @@ def chat_recent(spark, d):
     return table(spark, d, "conversations").withColumn("k", F.row_number().over(w)).filter("k <= 10").filter(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role")
 
 
-@query("chat_contents", f"""WITH h AS (SELECT conv_id, turn, {ROLE} AS role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-SELECT conv_id, 'system|model|' || string_agg(role || ':' || length(text), '|' ORDER BY turn) AS contents FROM h WHERE k <= 11 GROUP BY conv_id""")
+READY = "ready"
+
+
+@query("chat_contents", f"""WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+SELECT conv_id, 'user:instructions' || chr(10) || 'model:{READY}' || coalesce(string_agg(chr(10) || CASE WHEN role = 'assistant' THEN 'model' ELSE 'user' END || ':' || coalesce(CASE WHEN k = 1 THEN trim(text) ELSE text END, ''), '' ORDER BY turn) FILTER (k = 1 OR k <= 11 AND role IN ('user', 'assistant')), '') AS contents FROM h GROUP BY conv_id""")
 def chat_contents(spark, d):
-    """Prompt order: instructions, a canned reply, up to ten earlier messages, the newest."""
+    """Prompt order: instructions, a canned reply, those of the ten messages before the newest that are the user's or the model's, the newest, trimmed."""
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    h = table(spark, d, "conversations").withColumn("k", F.row_number().over(w)).filter("k <= 11")
-    part = F.concat(F.when(F.col("role") == "user", "user").otherwise("model"), F.lit(":"), F.length("text").cast("string"))
+    h = table(spark, d, "conversations").withColumn("k", F.row_number().over(w)).filter("k <= 11").filter((F.col("k") == 1) | F.col("role").isin("user", "assistant"))
+    text = F.coalesce(F.when(F.col("k") == 1, F.trim("text")).otherwise(F.col("text")), F.lit(""))
+    part = F.concat(F.when(F.col("role") == "assistant", "model").otherwise("user"), F.lit(":"), text)
     g = h.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", part.alias("p")))).alias("ps"))
-    return g.select("conv_id", F.concat(F.lit("system|model|"), F.array_join(F.transform("ps", lambda p: p["p"]), "|")).alias("contents"))
+    return g.select("conv_id", F.array_join(F.concat(F.array(F.lit("user:instructions"), F.lit(f"model:{READY}")), F.transform("ps", lambda p: p["p"])), "\n").alias("contents"))
 
 
 GATE = [("hello there", 10, True), ("  ", 10, True), ("안녕하세요 여러분", 10, True), ("hello", 100, True), ("hello", 10, False), ("안녕", 100, False)]

@@ -70,10 +70,10 @@ def match_spans(spark, d):
     return found.select("doc_id", "page", F.array_join(F.transform("sp", lambda x: F.concat(x["item_index"].cast("string"), F.lit(":"), x["char_start"].cast("string"), F.lit("-"), x["char_end"].cast("string"))), ",").alias("spans"))
 
 
-@query("strip_map", r"""SELECT doc_id, regexp_replace(left(text, 200), '[^\p{L}\p{N}]', '', 'g') AS stripped,
-array_to_string(list_filter(range(0, length(left(text, 200))), lambda i: regexp_matches(substr(text, i + 1, 1), '[\p{L}\p{N}]')), ',') AS places FROM documents WHERE text IS NOT NULL""")
+@query("strip_map", r"""WITH c AS (SELECT doc_id, text, string_split(text, '') AS cs FROM documents WHERE text IS NOT NULL) SELECT doc_id, regexp_replace(text, '[^\p{L}\p{N}]', '', 'g') AS stripped,
+array_to_string(list_filter(range(0, length(text)), lambda i: regexp_matches(cs[i + 1], '[\p{L}\p{N}]')), ',') AS places FROM c""")
 def strip_map(spark, d):
-    t = docs(spark, d).filter("text is not null").select("doc_id", F.left("text", F.lit(200)).alias("t"))
+    t = docs(spark, d).filter("text is not null").select("doc_id", F.col("text").alias("t"))
     return t.select("doc_id", T.stripped(F.col("t")).alias("stripped"), F.array_join(F.transform(T.stripped_map(F.col("t")), lambda i: i.cast("string")), ",").alias("places"))
 
 

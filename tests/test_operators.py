@@ -155,3 +155,25 @@ def test_every_query_has_an_oracle():
 
     queries, oracles = load()
     assert set(queries) == set(oracles) and len(queries) > 80
+
+
+def test_daily_limits_and_zero_rows(spark):
+    from parchment.operators import admission as A
+
+    df = spark.createDataFrame([("translate",), ("embed",), ("chat",), ("x",), (None,)], "endpoint string")
+    got = [tuple(r) for r in df.select(A.daily_limit(F.col("endpoint")), A.daily_limit(F.col("endpoint"), everyone=True)).collect()]
+    assert got == [(50_000, 500_000), (100_000, 1_000_000), (100_000, 1_000_000), (50_000, 500_000), (50_000, 500_000)]
+    used = spark.createDataFrame([("u", "chat", 50_000)], "client string, endpoint string, used bigint")
+    rows = A.usage_report(used, ["chat", "translate"], ["client"], A.daily_limit(F.col("endpoint"))).orderBy("endpoint").collect()
+    assert [tuple(r) for r in rows] == [("u", "chat", 50_000, 100_000, 50.0), ("u", "translate", 0, 50_000, 0.0)]
+
+
+def test_keyword_rows(spark):
+    from parchment.operators import keywords as K
+
+    text = "graph model graph model\nsolver graph model\n\nother\n\ngraph model solver"
+    rows = K.keywords(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).collect()
+    assert {r.algorithm for r in rows} == {"tfidf", "textrank", "ngram"} and all(r.color for r in rows)
+    gram = {r.term: r for r in rows if r.algorithm == "ngram"}["graph model"]
+    assert gram.tag == "bigram" and list(gram.pages) == [1, 2] and len(gram.contexts) == 3
+    assert max(r.score for r in rows if r.algorithm == "textrank") == 1.0
