@@ -121,6 +121,38 @@ def test_near_groups_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
     out = simhash.drop_near_copies(frame(spark, [(5, "a b c d"), (3, "A b  c d"), (9, "q r s t u"), (None, "zz")]))
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 3, 9]
+    assert simhash.drop_near_copies(frame(spark, [])).count() == 0
+
+
+def test_drops_go_by_row(spark):
+    """An id that two texts share, rows repeated in all, null ids, and a column that no step may trip over."""
+    rows = [(3, "A b c d e f", 1), (5, "A b c d e f", 2), (5, "quite another text", 3), (7, "zz yy", 1), (7, "zz yy", 1), (None, "zz yy", 1), (None, "q q", 1), (8, None, 0), (9, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` int").repartition(3)
+    want = sorted([(3, "A b c d e f", 1), (5, "quite another text", 3), (7, "zz yy", 1), (8, None, 0), (None, "q q", 1)], key=str)
+    for drop in (simhash.drop_near_copies, exact_dedup.drop_copies):
+        out = drop(df)
+        assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == want
+
+
+def test_similar_documents_are_found(spark):
+    """Jaccard similarity of five-word shingles against the groups: at 0.85 and more nearly all, under 0.5 none."""
+    rng = random.Random(4)
+    vocab = ["w%d" % k for k in range(3000)]
+    shingles = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+    rows, pairs = [], []
+    for g in range(60):
+        base = [rng.choice(vocab) for _ in range(rng.choice([60, 150, 400]))]
+        rows.append((10 * g, " ".join(base)))
+        for k, share in enumerate((0.01, 0.02, 0.15), 1):
+            other = [rng.choice(vocab) if rng.random() < share else w for w in base]
+            a, b = shingles(base), shingles(other)
+            rows.append((10 * g + k, " ".join(other)))
+            pairs.append((10 * g, 10 * g + k, len(a & b) / len(a | b)))
+    for hot in (4096, 2):
+        group = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot_homes=hot).collect()}
+        close = [group[a] == group[b] for a, b, j in pairs if j >= 0.85]
+        assert len(close) > 60 and sum(close) >= 0.97 * len(close)
+        assert not any(group[a] == group[b] for a, b, j in pairs if j < 0.5)
 
 
 def test_components_chain_and_star(spark):
