@@ -4,18 +4,19 @@ DataFrame functions only. Each document is cut into words once, in its row; the
 of the window at each word is looked up in the set, and the text never meets a shuffle. A hit is then verified on the words themselves, still in the document's own stage,
 so that a hash collision cannot count. What is shuffled is one short row a hit.
 
-The set is broadcast only while it has at most ``broadcast_windows`` windows (the count is
-taken first); a larger set is joined by a shuffle on the hash, with the same rows.
+The set is broadcast only while it has at most ``broadcast_windows`` windows and about
+``broadcast_bytes`` (both are counted first); for a larger set the places' hashes alone are
+shuffled (``_shuffled_hits``), with the same rows.
 
 Nulls and texts without words have no windows. Repeated rows of one document each get the
-document's result.
+document's result. Texts are read whole at any length; columns of any name are kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parchment.llm.rows import numbered, restored
+from parchment.llm.rows import col, numbered, restored
 from parchment.llm.storage import store
 
 WINDOW = 10
@@ -47,7 +48,7 @@ def benchmark_windows(bench: DataFrame, text_col: str = "text", id_col: str = "i
     return each.groupBy(h.alias("h"), "size", "ws").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, bench_text: str = "text", bench_id: str = "item_id", broadcast_windows: int = 2_000_000) -> DataFrame:
+def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", window: int = WINDOW, bench_text: str = "text", bench_id: str = "item_id", broadcast_windows: int = 2_000_000, broadcast_bytes: int = 256 << 20) -> DataFrame:
     """(doc_id, th, n_words, at, size, items): a row for each verified window of a document.
 
     Besides these, each document has one row with null ``at``, so that none is lost. ``th``
@@ -55,9 +56,11 @@ def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col:
     """
     held = store(benchmark_windows(bench, bench_text, bench_id, window))
     sizes = [r[0] for r in held.select("size").distinct().collect()] or [window]  # at most ``window`` of them
-    n = held.count()
+    n, n_bytes = held.agg(F.count("*"), F.coalesce(F.sum(F.length(F.array_join("ws", " ")) + 24 * F.size("ws") + 24 * F.size("items")), F.lit(0))).first()
+    cut = docs.select(col(id_col).alias("doc_id"), F.xxhash64(col(text_col)).alias("th"), words(col(text_col)).alias("ws"))
+    if n > broadcast_windows or n_bytes > broadcast_bytes:
+        return _shuffled_hits(cut, held, sizes)
     items = held.schema["items"].dataType
-    cut = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), words(F.col(text_col)).alias("ws"))
     out = None
     for size in sizes:
         part = held.filter(F.col("size") == size).select(F.col("h").alias("bench_h"), "size", F.col("ws").alias("bench_ws"), "items")
@@ -67,18 +70,37 @@ def find_hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col:
         if out is None:  # one more look-up a document, which always succeeds, keeps documents without a hit
             part = part.unionAll(docs.sparkSession.range(1).select(F.lit(OWN).cast("bigint"), F.lit(None).cast("int"), F.lit(None).cast("array<string>"), F.lit(None).cast(items)))
             h = F.when(F.col("at") == F.size("ws"), F.lit(OWN).cast("bigint")).otherwise(h)
-        part = F.broadcast(part) if n <= broadcast_windows else part
         spread = cut.select("doc_id", "th", "ws", at_word).select("doc_id", "th", "ws", "at", h.alias("h"))
         here = F.slice("ws", F.col("at") + 1, F.lit(size))
         # Two inequalities: an equality would become a join key and be computed for every window.
         same = (here <= F.col("bench_ws")) & (here >= F.col("bench_ws"))
         own = F.col("bench_ws").isNull() & (F.col("at") == F.size("ws"))
-        hit = spread.join(part, (F.col("h") == F.col("bench_h")) & (own | same))
+        hit = spread.join(F.broadcast(part), (F.col("h") == F.col("bench_h")) & (own | same))
         hit = hit.select("doc_id", "th", F.size("ws").alias("n_words"), F.when(F.col("size").isNotNull(), F.col("at")).alias("at"), "size", "items")
         out = hit if out is None else out.unionAll(hit)
     return out
 
 
+def _shuffled_hits(cut: DataFrame, held: DataFrame, sizes: list[int]) -> DataFrame:
+    """The rows of ``find_hits`` for a set too large to broadcast; cut is (doc_id, th, ws).
+
+    One scan for all sizes shuffles a row of four numbers a window, no words. The places whose
+    hash is in the set are gathered by row, the words there are cut in a second scan, and those
+    are compared with the set's. A window that many documents share is one key; its rows are on the side
+    that is only filtered, which the engine may split, and each place goes there once.
+    """
+    own = cut.select("doc_id", "th", F.size("ws").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("size"), F.lit(None).cast(held.schema["items"].dataType).alias("items"))
+    runs = F.array(*(F.struct(F.lit(k).alias("size"), F.when(F.col("at") <= F.size("ws") - k, _window_hash(F.col("ws"), F.col("at"), k)).alias("h")) for k in sizes))
+    each = cut.select("doc_id", "th", "ws", F.posexplode("ws").alias("at", "w")).select("doc_id", "th", "at", F.explode(runs).alias("run"))
+    each = each.select("doc_id", "th", "at", F.col("run.size").alias("size"), F.col("run.h").alias("h")).filter("h is not null")
+    met = store(each.join(held.select("h", "size").distinct(), ["h", "size"], "left_semi").distinct())
+    places = met.groupBy(F.col("doc_id").alias("p_id"), F.col("th").alias("p_th")).agg(F.collect_set(F.struct("at", "size", "h")).alias("places"))
+    back = cut.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")))
+    read = back.select("doc_id", "th", F.size("ws").alias("n_words"), "ws", F.explode("places").alias("p"))
+    read = read.select("doc_id", "th", "n_words", "p.at", "p.size", "p.h", F.slice("ws", F.col("p.at") + 1, F.col("p.size")).alias("ws"))
+    return own.unionAll(read.join(held, ["h", "size", "ws"]).select("doc_id", "th", "n_words", "at", "size", "items"))
+
+
 def _covered(spans: Column) -> Column:
     """Words under a sorted array of (at, size) spans."""
     return F.aggregate(

@@ -68,3 +68,12 @@ def test_empty_tables(spark):
     assert D.contamination(d, b).filter("contaminated").count() == 0 and D.contamination(d, b).count() == len(docs)
     d, b = frames(spark, [], bench)
     assert D.contamination(d, b).count() == 0
+
+
+def test_a_set_over_its_bytes_gives_the_same_rows(spark):
+    docs, bench = cases()
+    d, b = frames(spark, docs, bench)
+    rows = lambda f: sorted(map(str, f.select("doc_id", "th", "n_words", "at", "size", "items").collect()))
+    assert rows(D.find_hits(d, b)) == rows(D.find_hits(d, b, broadcast_bytes=100))
+    plan = D.find_hits(d, b, broadcast_bytes=100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bench_ws" not in plan
