@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
+from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, merkle_manifest, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
 from parchment.session import ship
 
 QUERIES: dict = {}
@@ -156,3 +156,52 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("b"), F.sha2(line, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     milli = F.expr("1000 * b.length div b.period").alias("exponent_milli")
     return rows.select("doc_id", "n_runs", "b.start", "b.length", "b.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(5)) == 0
+    found = merkle_manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", claims={"text": lower}, where=tampered)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def _sql_field(c: str) -> str:
+    return f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_sql_field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _sql_levels(name: str, of: str) -> str:
+    """All nodes (g, lvl, pos, h) above those of ``of`` (g, pos, h), these included."""
+    return f"""{name} AS (
+  SELECT g, 0 AS lvl, pos, h FROM {of} UNION ALL
+  SELECT g, lvl + 1, pos // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, lvl, pos // 16)"""
+
+
+# DuckDB has no CRC: a byte is eight steps, in the first of which it is added
+_SQL_CRC = "xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1)), 4294967295), 4294967295)"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {_sql_leaf("text")} AS h, CASE WHEN {_SQL_CRC} % 5 = 0 THEN {_sql_leaf(_LOWER)} END AS claim FROM documents),
+leaf AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, h) - 1 AS pos FROM d),
+{_sql_levels("lower_nodes", "leaf")},
+sub AS (SELECT g, max(lvl) AS top, arg_max(h, lvl) AS h FROM lower_nodes GROUP BY g),
+name AS (SELECT g AS name, h, 'all' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS pos FROM sub),
+{_sql_levels("upper_nodes", "name")},
+whole AS (SELECT max(lvl) AS top, arg_max(h, lvl) AS h FROM upper_nodes),
+run AS (
+  SELECT doc_id, l.g, l.pos AS own, u.lvl, u.pos, u.h, l.pos // CAST(power(16, u.lvl) AS BIGINT) AS here FROM leaf l JOIN lower_nodes u ON u.g = l.g AND u.pos // 16 = l.pos // CAST(power(16, u.lvl + 1) AS BIGINT) JOIN sub ON sub.g = l.g AND u.lvl < sub.top UNION ALL
+  SELECT doc_id, l.g, l.pos, sub.top + u.lvl, u.pos, u.h, n.pos // CAST(power(16, u.lvl) AS BIGINT) FROM leaf l JOIN sub ON sub.g = l.g JOIN name n ON n.name = l.g JOIN upper_nodes u ON u.pos // 16 = n.pos // CAST(power(16, u.lvl + 1) AS BIGINT) JOIN whole ON u.lvl < whole.top),
+proof AS (SELECT g, own, sha256(string_agg(h, '' ORDER BY lvl, pos)) AS proof_sha256 FROM run WHERE pos <> here GROUP BY g, own),
+folded AS (
+  SELECT g, pos AS own, 0 AS lvl, coalesce(claim, h) AS h FROM leaf UNION ALL
+  SELECT f.g, f.own, f.lvl + 1, sha256(string_agg(CASE WHEN r.pos = r.here THEN f.h ELSE r.h END, '' ORDER BY r.pos)) FROM folded f JOIN run r ON r.g = f.g AND r.own = f.own AND r.lvl = f.lvl GROUP BY f.g, f.own, f.lvl),
+ends AS (SELECT g, own, arg_max(h, lvl) AS folded_root FROM folded GROUP BY g, own)
+SELECT l.doc_id, l.h AS leaf, sub.h AS subroot, whole.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = whole.h AS verified
+FROM leaf l JOIN sub USING (g) JOIN ends e ON e.g = l.g AND e.own = l.pos LEFT JOIN proof p ON p.g = l.g AND p.own = l.pos CROSS JOIN whole
+"""
