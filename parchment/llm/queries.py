@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.llm import decontaminate, exact_dedup, html_extract, line_dedup, merkle_manifest, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
+from parchment.llm import decontaminate, exact_dedup, html_extract, lattice_dedup, line_dedup, merkle_manifest, packing, periodic_runs, simhash, substring_dedup, token_counts, toxicity, url_filter
 from parchment.session import ship
 
 QUERIES: dict = {}
@@ -205,3 +205,8 @@ ends AS (SELECT g, own, arg_max(h, lvl) AS folded_root FROM folded GROUP BY g, o
 SELECT l.doc_id, l.h AS leaf, sub.h AS subroot, whole.h AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = whole.h AS verified
 FROM leaf l JOIN sub USING (g) JOIN ends e ON e.g = l.g AND e.own = l.pos LEFT JOIN proof p ON p.g = l.g AND p.own = l.pos CROSS JOIN whole
 """
+
+
+@query
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.vector_groups(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
