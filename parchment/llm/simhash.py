@@ -14,14 +14,16 @@ anchor decides. 2^27 anchors a half keep the buckets small: about 34 rows a fing
 
 Skew: equal fingerprints are one row from the start, so exact copies cost nothing. Anchors
 that are home to many different fingerprints are found by a count over the homes and split:
-their homes are salted, their guests sent to every salt; all pairs still meet. In a task,
-home and guest rows are compared block by block and reduced at once to a spanning forest of
-their links, so that a group of n near copies leaves a task as fewer than n edges. The edges
+their homes are salted, their guests sent to every salt; all pairs still meet. In a task
+homes are held, guests stream past, and links are reduced at once to a spanning forest,
+so that a group of n near copies leaves a task as fewer than n edges. The edges
 then go through distributed connected components.
 
 Results for odd input: null and word-less texts have fingerprint zero and link like any
 other; a null doc_id never names a component unless all its members have none; rows that
-repeat a doc_id are each given their own row; no rows give no rows.
+repeat a doc_id are each given their own row; texts are read whole, however long, a counter a bit
+being all that is held; a bit set in exactly half the hashes is 0; columns other than the two
+named are not read, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
 from parchment.llm.components import components
-from parchment.llm.rows import col, one_of_each
+from parchment.llm.rows import col
 from parchment.llm.storage import release, store
 
 SEED = 42
@@ -130,6 +132,11 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(homes(b.column(0).to_numpy(zero_copy_only=False)).ravel())], names=["anchor"])
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links a-b reduced to stars: (vertex, smallest vertex of its component), fewer rows than vertices."""
     if not len(a):
@@ -156,189 +163,14 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[moved], ids[label[moved]]
 
 
-def _links(h: np.ndarray, g: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between homes and guests of one anchor, block by block."""
-    found = []
-    wide = max(1, CELLS // max(1, len(g)))
-    for at in range(0, len(h), wide):
-        part = h[at : at + wide]
-        i, j = np.nonzero(np.bitwise_count(part[:, None].view(np.uint64) ^ g[None, :].view(np.uint64)) <= most)
-        a, b = part[i], g[j]
-        off = a != b
-        found.append(forest(a[off], b[off]))
-    return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-
-def _compare(most: int):
-    """Rows sorted by anchor, homes first in each; yields stars of links."""
-
-    def close(keys, fps, home) -> tuple[np.ndarray, np.ndarray]:
-        start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        size = np.diff(np.r_[start, len(keys)])
-        n_home = np.add.reduceat(home.astype(np.int64), start)
-        a, b = [], []
-        one = (n_home == 1) & (size > 1)  # the usual bucket: one home, some guests, all such buckets at once
-        if one.any():
-            g = np.repeat(np.arange(len(start)), size)
-            at = np.flatnonzero(one[g] & ~home)
-            x, y = fps[start[g[at]]], fps[at]
-            near = np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= most
-            a.append(x[near]), b.append(y[near])
-        for k in np.flatnonzero(n_home > 1):
-            rows = fps[start[k] : start[k] + size[k]]
-            x, y = _links(rows[: n_home[k]], rows, most)
-            a.append(x), b.append(y)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        off = a != b
-        return forest(a[off], b[off])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list = []
-
-        def out(x, y):
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["u", "v"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
-            kept.append((keys, batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)))
-            if (keys[-1] == kept[0][0][0]).all() and (keys[0] == keys[-1]).all():
-                continue  # one anchor goes on through the whole batch
-            keys, fps, home = (np.concatenate([k[c] for k in kept]) for c in range(3))
-            last = len(keys) - int((keys == keys[-1]).all(axis=1).sum())
-            if last:
-                yield out(*close(keys[:last], fps[:last], home[:last]))
-            kept = [(keys[last:], fps[last:], home[last:])]
-        if kept:
-            yield out(*close(*(np.concatenate([k[c] for k in kept]) for c in range(3))))
-
-    return run
-
-
-def link(fps: DataFrame, max_distance: int = MAX_DISTANCE, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """Distinct fingerprints (fp) -> (u, v): edges that connect what links of max_distance or less connect."""
-    if not 0 <= max_distance <= 3:
-        raise ValueError("the two halves leave one differing bit to a half for distances of 3 or less")
-    spread = fps.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint, home boolean")
-    dealt = _salted(spread, ["fp"], "fp", hot_homes)
-    return dealt.mapInArrow(_compare(max_distance), "u bigint, v bigint")
-
-
-def _salted(spread: DataFrame, carried: list[str], vertex: str, hot_homes: int) -> DataFrame:
-    """(anchor, salt, carried, home) dealt by anchor and salt and sorted, homes first.
+def compare(most: int, words: int):
+    """Rows (anchor, salt, node, fp, home) sorted by anchor and salt, homes first; yields stars (u, v) of links between nodes.
 
-    Guests of anchors that are nobody's home meet no one and are left out; an anchor with more
-    than hot_homes homes has them salted, its guests go to every salt.
-    """
-    counts = store(spread.filter("home").groupBy("anchor").agg(F.ceil(F.count("*") / hot_homes).cast("int").alias("salts")))
-    # a split anchor's homes are also guests at the other salts
-    every = F.sequence(F.lit(0), F.col("salts") - 1)
-    split = spread.join(counts, "anchor").select("anchor", *carried, F.col("home").alias("h"), F.pmod(F.xxhash64(vertex), F.col("salts")).cast("int").alias("own"), F.explode(every).alias("salt"))
-    dealt = split.select("anchor", "salt", *carried, (F.col("h") & (F.col("own") == F.col("salt"))).alias("home"))
-    return dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
-
-
-def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links."""
-    marks = store(fingerprints(docs, text_col, id_col, shingle))
-    fps = store(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(store(link(fps, max_distance)))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = store(named)
-    low = store(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    names = store(named.join(low, "root").select("fp", "component_id"))
-    return marks.join(names, "fp").select("doc_id", "fp", "component_id")
-
-
-def wide_fingerprint(text: bytes, shingle: int, words: int, seed: int = SEED) -> np.ndarray:
-    """The same over ``words`` times 64 bits: each shingle's hash is mixed anew for every 64 of them."""
-    ws = text.lower().split()
-    if not ws:
-        return np.zeros(words, "<u8")
-    grams = [b" ".join(ws)] if len(ws) <= shingle else map(b" ".join, zip(*(ws[k:] for k in range(shingle))))
-    h = np.fromiter((xxh64_intdigest(g, seed) for g in grams), np.uint64)
-    out = np.zeros(words, "<u8")
-    for k in range(words):
-        z = h + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(z), 1 << 14):
-            ones += np.unpackbits(z[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0]
-    return out
-
-
-def anchor_plan(n: int) -> tuple[int, int]:
-    """(bits of a part, parts) for n fingerprints. Both find over 0.94 of the pairs of similarity 0.8:
-    a part of 16 bits brings 0.42 of them together, one of 32 bits 0.07, but has 2^16 times as many anchors."""
-    return (16, 6) if n <= 1 << 24 else (32, 40)
-
-
-def most_bits(similarity: float, bits: int) -> int:
-    """Differing bits up to which fingerprints link: those expected at that similarity and one deviation more.
-
-    Shingle sets of Jaccard similarity s have a cosine of 2 s / (1 + s), and a bit differs
-    with the angle over pi.
-    """
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
-
-
-def _parts(fps: np.ndarray, width: int, parts: int) -> np.ndarray:
-    """(n, parts): consecutive runs of ``width`` bits of each fingerprint."""
-    return fps.view(f"<u{width // 8}").reshape(len(fps), -1)[:, :parts].astype(np.int64)
-
-
-def _anchors(part: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(home, rows, guests): each value's nearest anchor, and those within covering radius plus one, 2, of it.
-
-    Anchors are the words of the Hamming code on all bits but the highest, times that bit.
-    """
-    top = 1 << (width - 1)
-    v, high = part & (top - 1), part & top
-    s = np.zeros(v.shape, np.int64)
-    for place in range(1, width):
-        s ^= ((v >> (place - 1)) & 1) * place
-    every = np.arange(len(part))
-    rows, keys = [every], [(high ^ top) | _flip(v, s)]
-    for i in range(1, width):
-        j = s ^ i
-        at = every[(s > 0) & (j > i)]
-        rows.append(at)
-        keys.append(high[at] | _flip(_flip(v[at], np.full(len(at), i)), j[at]))
-    return high | _flip(v, s), np.concatenate(rows), np.concatenate(keys)
-
-
-def _spread(width: int, parts: int, words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node = b.column(0).to_numpy(zero_copy_only=False)
-            raw = b.column(1)
-            fps = np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(-1, words)
-            value = _parts(np.ascontiguousarray(fps), width, parts)
-            for p in range(parts):
-                home, rows, keys = _anchors(value[:, p], width)
-                at = np.concatenate([np.arange(len(node)), rows])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(p << 32 | np.concatenate([home, keys])), pa.array(node[at]), raw.take(pa.array(at)), pa.array(np.arange(len(at)) < len(node))],
-                    names=["anchor", "node", "fp", "home"],
-                )
-
-    return run
-
-
-def _compare_wide(most: int, words: int):
-    """Rows sorted by (anchor, salt), homes first; yields stars of links between nodes, anchor by anchor.
-
-    Homes are held, guests stream past them batch by batch, so that memory follows the homes
-    of an anchor, which are split, and not its guests.
+    fp: ``words`` times 64 bits, as a number if it is one word, else as bytes. Homes are held, guests stream past
+    them batch by batch, so that memory follows the homes of an anchor, which are split, and not its guests.
     """
 
     def links(hn, hf, gn, gf):
-        found = []
         wide = max(1, CELLS // max(1, len(gn) * words))
         for at in range(0, len(hn), wide):
             apart = np.zeros((len(hn[at : at + wide]), len(gn)), np.uint16)
@@ -347,8 +179,7 @@ def _compare_wide(most: int, words: int):
             i, j = np.nonzero(apart <= most)
             a, b = hn[at : at + wide][i], gn[j]
             off = a != b
-            found.append(forest(a[off], b[off]))
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            yield forest(a[off], b[off])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hn, hf = None, np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
@@ -357,63 +188,77 @@ def _compare_wide(most: int, words: int):
                 continue
             keys = np.stack([b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)], 1)
             node, home = b.column(2).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
-            fps = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, words)
+            fps = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(-1, words) if pa.types.is_binary(b.column(3).type) else b.column(3).to_numpy(zero_copy_only=False).view(np.uint64)[:, None]
             start = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            a, v = [], []
-            for x, y in zip(start, np.r_[start[1:], len(keys)]):
-                if key is None or tuple(keys[x]) != key:
-                    key, hn, hf = tuple(keys[x]), np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+            end = np.r_[start[1:], len(keys)]
+            n_home = np.add.reduceat(home.astype(np.int64), start)
+            goes_on = key is not None and tuple(keys[0]) == key
+            alone = n_home == 1  # the usual anchor: one home, some guests, all such anchors at once
+            alone[0] &= not goes_on
+            g = np.repeat(np.arange(len(start)), end - start)
+            at = np.flatnonzero(alone[g] & ~home)
+            first = start[g[at]]
+            apart = np.bitwise_count(fps[first] ^ fps[at]).sum(axis=1, dtype=np.int64)
+            near = (apart <= most) & (node[first] != node[at])
+            a, v = [node[first[near]]], [node[at[near]]]
+            for k in np.flatnonzero((n_home > 1) | ((np.arange(len(start)) == 0) & goes_on)):
+                x, y = start[k], end[k]
+                old = k == 0 and goes_on
                 new = home[x:y]
-                if new.any():
-                    hn, hf = np.concatenate([hn, node[x:y][new]]), np.concatenate([hf, fps[x:y][new]])
-                if len(hn):
-                    p, q = links(hn, hf, node[x:y], fps[x:y])
+                ns, fs = (np.concatenate([hn, node[x:y][new]]), np.concatenate([hf, fps[x:y][new]])) if old else (node[x:y][new], fps[x:y][new])
+                for p, q in links(ns, fs, node[x:y], fps[x:y]):
                     a.append(p), v.append(q)
-            if a:
-                p, q = forest(np.concatenate(a), np.concatenate(v))
+            x = start[-1]
+            again = len(start) == 1 and goes_on
+            new = home[x:]
+            hn, hf = (np.concatenate([hn, node[x:][new]]), np.concatenate([hf, fps[x:][new]])) if again else (node[x:][new].copy(), fps[x:][new].copy())
+            key = tuple(keys[-1])
+            p, q = forest(np.concatenate(a), np.concatenate(v))
+            if len(p):
                 yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(q)], names=["u", "v"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, words: int = 4, hot_homes: int = HOT_HOMES) -> DataFrame:
-    """(doc_id, th, group) for each row: documents whose sets of word shingles have about that Jaccard similarity or more.
+def dealt(spread: DataFrame, own: DataFrame, carried: list[str], vertex: str, hot_homes: int) -> DataFrame:
+    """spread (anchor, carried, home) dealt by anchor and salt and sorted, homes first. own: the anchors of all homes.
 
-    The similarity is taken from fingerprints of 64 * ``words`` bits, whose deviation at 0.8 is
-    about 0.03 (``most_bits``). Only documents that have words are compared; all without form
-    one group. th is the hash of the text.
+    An anchor with more than hot_homes homes has them salted, its guests, and its other homes as guests, go to
+    every salt. Such anchors are few, one for hot_homes rows at most; all others go their way without a join of
+    their counts.
     """
-    text = F.encode(F.coalesce(col(text_col), F.lit("")), "UTF-8")
+    counts = store(own.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > hot_homes).select(F.col("anchor").alias("hot"), F.ceil(F.col("n") / hot_homes).cast("int").alias("salts")))
+    if counts.isEmpty():
+        split = spread.select("anchor", F.lit(0).alias("salt"), *carried, "home")
+    else:
+        salts = F.coalesce("salts", F.lit(1))
+        mine = F.pmod(F.xxhash64(vertex), salts).cast("int").alias("own")
+        split = spread.join(counts, F.col("anchor") == F.col("hot"), "left").select("anchor", *carried, "home", mine, F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        split = split.select("anchor", "salt", *carried, (F.col("home") & (F.col("own") == F.col("salt"))).alias("home"))
+    return split.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("home"))
 
-    def marks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([wide_fingerprint(t, shingle, words).tobytes() for t in b.column(2).to_pylist()], pa.binary())], names=["doc_id", "th", "fp"])
-
-    marks = store(docs.select(col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(col(text_col)).alias("th"), text.alias("t")).mapInArrow(marks_of, "doc_id bigint, th bigint, fp binary"))
-    fps = store(marks.select("fp").distinct().select(F.monotonically_increasing_id().alias("node"), "fp"))
-    width, parts = anchor_plan(fps.count())
-    if width * parts > 64 * words:
-        return similar_groups(docs, text_col, id_col, shingle, similarity, -(-width * parts // 64), hot_homes)
-    spread = fps.mapInArrow(_spread(width, parts, words), "anchor bigint, node bigint, fp binary, home boolean")
-    dealt = _salted(spread, ["node", "fp"], "node", hot_homes)
-    edges = store(dealt.mapInArrow(_compare_wide(most_bits(similarity, 64 * words), words), "u bigint, v bigint"))
-    roots = components(edges)
-    groups = store(fps.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group")))
-    out = marks.join(groups, "fp").select("doc_id", "th", "group")
-    release(edges)
-    return out
 
+def link(fps: DataFrame, max_distance: int = MAX_DISTANCE, hot_homes: int = HOT_HOMES) -> DataFrame:
+    """Distinct fingerprints (fp) -> (u, v): edges that connect what links of max_distance or less connect."""
+    if not 0 <= max_distance <= 3:
+        raise ValueError("the two halves leave one differing bit to a half for distances of 3 or less")
+    spread = fps.select("fp").mapInArrow(_replicate, "anchor bigint, fp bigint, home boolean")
+    own = fps.select("fp").mapInArrow(_homes, "anchor bigint")
+    rows = dealt(spread, own, ["fp"], "fp", hot_homes).select("anchor", "salt", F.col("fp").alias("node"), "fp", "home")
+    return rows.mapInArrow(compare(max_distance, 1), "u bigint, v bigint")
 
-def drop_near_copies(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:
-    """One row of each group of ``similar_groups``, the one with the smallest id (null last), with all its columns.
 
-    Rows go by id and text, so that a text that only shares its id with a copy is judged by
-    itself; of rows that share both, one stays.
-    """
-    found = store(similar_groups(docs, text_col, id_col, **kw).groupBy("doc_id", "th", "group").agg(F.count("*").alias("c")))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
-    first = store(found.groupBy("group").agg(F.min(place).alias("first")).select(F.col("group").alias("g"), F.col("first.doc_id").alias("i"), F.col("first.th").alias("h")))
-    stays = found.join(first, F.col("group") == F.col("g")).select("doc_id", "th", "c", (F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).alias("stays"))
-    stays = store(stays)
-    gone, twice = stays.filter("not stays").select("doc_id", "th"), stays.filter("stays and c > 1").select("doc_id", "th")
-    return one_of_each(docs, [col(id_col).cast("bigint"), F.xxhash64(col(text_col))], gone, twice, [])
+def near_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over links."""
+    marks = store(fingerprints(docs, text_col, id_col, shingle))
+    fps = store(marks.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    edges = store(link(fps, max_distance))
+    roots = components(edges)
+    release(edges)
+    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = store(named)
+    low = store(named.groupBy("root").agg(F.min("low").alias("component_id")))
+    names = store(named.join(low, "root").select("fp", "component_id"))
+    for table in (fps, named, low):
+        release(table)
+    return marks.join(names, "fp").select("doc_id", "fp", "component_id")

@@ -6,7 +6,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from parchment.llm import exact_dedup, simhash
+from parchment.llm import exact_dedup, near_copies, simhash
 from parchment.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string"
@@ -119,9 +119,9 @@ def test_links_over_crafted_fingerprints_and_split_anchors(spark):
 
 def test_near_groups_of_nothing(spark):
     assert simhash.near_groups(frame(spark, [])).count() == 0
-    out = simhash.drop_near_copies(frame(spark, [(5, "a b c d"), (3, "A b  c d"), (9, "q r s t u"), (None, "zz")]))
+    out = near_copies.drop_near_copies(frame(spark, [(5, "a b c d"), (3, "A b  c d"), (9, "q r s t u"), (None, "zz")]))
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 3, 9]
-    assert simhash.drop_near_copies(frame(spark, [])).count() == 0
+    assert near_copies.drop_near_copies(frame(spark, [])).count() == 0
 
 
 def test_drops_go_by_row(spark):
@@ -129,30 +129,82 @@ def test_drops_go_by_row(spark):
     rows = [(3, "A b c d e f", 1), (5, "A b c d e f", 2), (5, "quite another text", 3), (7, "zz yy", 1), (7, "zz yy", 1), (None, "zz yy", 1), (None, "q q", 1), (8, None, 0), (9, "", 0)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, `a.b` int").repartition(3)
     want = sorted([(3, "A b c d e f", 1), (5, "quite another text", 3), (7, "zz yy", 1), (8, None, 0), (None, "q q", 1)], key=str)
-    for drop in (simhash.drop_near_copies, exact_dedup.drop_copies):
+    for drop in (near_copies.drop_near_copies, exact_dedup.drop_copies):
         out = drop(df)
         assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=str) == want
 
 
-def test_similar_documents_are_found(spark):
-    """Jaccard similarity of five-word shingles against the groups: at 0.85 and more nearly all, under 0.5 none."""
-    rng = random.Random(4)
+def shingle_sets(rows):
+    out = []
+    for _, t in rows:
+        ws = (t or "").lower().split()
+        out.append({tuple(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))} if ws else set())
+    return out
+
+
+def brute_groups(rows, similarity=0.8):
+    """Smallest row number connected, by the exact similarity of all pairs."""
+    sets = shingle_sets(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (not sets[i] and not sets[j]) or both and both >= similarity * len(sets[i] | sets[j]) - 1e-9:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(rows))]
+
+
+def similar_rows(rng):
+    """Copies of every similarity from some 0.5 to 1, chains, boilerplate, and words said again and again."""
     vocab = ["w%d" % k for k in range(3000)]
-    shingles = lambda ws: {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
-    rows, pairs = [], []
-    for g in range(60):
-        base = [rng.choice(vocab) for _ in range(rng.choice([60, 150, 400]))]
+    rows = []
+    for g in range(24):
+        base = [rng.choice(vocab) for _ in range(rng.choice([30, 60, 150, 400]))]
         rows.append((10 * g, " ".join(base)))
-        for k, share in enumerate((0.01, 0.02, 0.15), 1):
-            other = [rng.choice(vocab) if rng.random() < share else w for w in base]
-            a, b = shingles(base), shingles(other)
-            rows.append((10 * g + k, " ".join(other)))
-            pairs.append((10 * g, 10 * g + k, len(a & b) / len(a | b)))
-    for hot in (4096, 2):
-        group = {r.doc_id: r.group for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot_homes=hot).collect()}
-        close = [group[a] == group[b] for a, b, j in pairs if j >= 0.85]
-        assert len(close) > 60 and sum(close) >= 0.97 * len(close)
-        assert not any(group[a] == group[b] for a, b, j in pairs if j < 0.5)
+        for k, share in enumerate((0.0, 0.004, 0.01, 0.02, 0.03, 0.045, 0.06), 1):
+            rows.append((10 * g + k, " ".join(rng.choice(vocab) if rng.random() < share else w for w in base)))
+    part = [rng.choice(vocab) for _ in range(300)]
+    rows += [(1000 + k, " ".join(part + [rng.choice(vocab) for _ in range(n)])) for k, n in enumerate([10, 40, 75, 80, 100, 120] * 10)]
+    rows += [(2000 + k, "de " * 200 + " ".join(rng.choice(vocab) for _ in range(20))) for k in range(10)]
+    rows += [(3000, "one two"), (3001, "One  two"), (3002, None), (3003, " ")]
+    return rows
+
+
+def test_similar_documents_are_found_and_no_others(spark):
+    """All pairs of similarities around 0.8, against exact Jaccard similarity."""
+    rows = similar_rows(random.Random(4))
+    want, sets = brute_groups(rows), shingle_sets(rows)
+    at = {d: k for k, (d, _) in enumerate(rows)}
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    between = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(0, len(rows), 3) for j in range(i) if sets[i]]
+    assert sum(0.75 < x < 0.85 for x in between) > 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for kw in ({}, {"hot_homes": 2}, {"plan": (32, 40)}):
+        group = {at[r.doc_id]: r.group for r in near_copies.similar_groups(df, **kw).collect()}
+        assert sum(group[i] == group[j] for i, j in near) >= 0.98 * len(near)
+        first = {}
+        for k in range(len(rows)):  # nobody is grouped with another without a chain of pairs at 0.8
+            assert want[first.setdefault(group[k], k)] == want[k]
+
+
+def test_blocks_and_cells_of_left_overs(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "QUERIES", 3)
+    monkeypatch.setattr(near_copies, "MEMBERS", 5)
+    rows = similar_rows(random.Random(6))[-200:]
+    want = brute_groups(rows)
+    at = {d: k for k, (d, _) in enumerate(rows)}
+    group = {at[r.doc_id]: r.group for r in near_copies.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    first = {}
+    for k in range(len(rows)):
+        assert want[first.setdefault(group[k], k)] == want[k]
+    assert len(set(group.values())) <= 1.05 * len(set(want))
 
 
 def test_components_chain_and_star(spark):
