@@ -1,20 +1,25 @@
 """Admission accounting: anchored throttle windows and daily quotas on KST days.
 
 Both are folds over a key's requests in time order, because a denied request changes what
-later ones meet. A key's requests are gathered in one row and folded by ``aggregate``; for a
-key with very many requests use the streaming form, which holds one counter a key.
+later ones meet. Requests stream sorted through one state a key (``folds``); no key's
+requests are gathered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from parchment.functions.text import strip
+from parchment.operators.folds import fold, open_quota_step, quota_step, throttle_step
+
 WINDOW_MS, MOST = 60_000, 30
 #: Daily characters a client and in all, by endpoint; unknown endpoints get the last.
 CLIENT_LIMITS = {"translate": 50_000, "embed": 100_000, "chat": 100_000}
 GLOBAL_LIMITS = {"translate": 500_000, "embed": 1_000_000, "chat": 1_000_000}
 OTHER_CLIENT, OTHER_GLOBAL = 50_000, 500_000
 CHAT_GLOBAL_CAP, CHAT_CLIENT_CAP = 30_000, 5_000
+#: Characters of a message after trimming.
+MOST_CHARS = {"chat": 2000, "translate": 3000}
 
 
 def kst_day(ts: Column) -> Column:
@@ -55,52 +60,69 @@ def usage_report(used: DataFrame, endpoints: list[str], keys: list[str], limit:
 
 def throttle(requests: DataFrame, key: str = "key", ts: str = "ms", id_col: str = "id", window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
     """(key, id, denied, retry_after_ms, 0 if not denied): windows start at a key's first request after the last one ran out."""
-    rows = requests.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i")))).alias("rs"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("n"), F.array().cast("array<struct<i:bigint,denied:boolean,retry:bigint>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        fresh = s["start"].isNull() | (r["t"] >= s["start"] + window_ms)
-        start = F.when(fresh, r["t"]).otherwise(s["start"])
-        n = F.when(fresh, 1).otherwise(s["n"] + 1)
-        row = F.struct(r["i"].alias("i"), (n > most).alias("denied"), F.when(n > most, start + window_ms - r["t"]).otherwise(F.lit(0).cast("bigint")).alias("retry"))
-        return F.struct(start.alias("start"), n.alias("n"), F.concat(s["out"], F.array(row)).alias("out"))
-
-    out = rows.select(key, F.explode(F.aggregate("rs", zero, step)["out"]).alias("x"))
-    return out.select(key, F.col("x.i").alias(id_col), F.col("x.denied").alias("denied"), F.col("x.retry").alias("retry_after_ms"))
+    out = fold(requests.select(key, ts, id_col), [key], [ts, id_col], [ts], {"denied": "boolean", "retry_after_ms": "bigint"}, throttle_step(window_ms, most))
+    return out.select(key, id_col, "denied", "retry_after_ms")
 
 
 def quota(requests: DataFrame, keys: list[str], limit: Column, ts: str = "ms", id_col: str = "id", chars: str = "chars") -> DataFrame:
     """(keys, id, allowed, used): a request that would pass the limit is denied and costs nothing. limit: a column of keys."""
-    rows = requests.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(id_col).alias("i"), F.col(chars).cast("bigint").alias("c")))).alias("rs")).withColumn("lim", limit.cast("bigint"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<struct<i:bigint,ok:boolean,used:bigint>>").alias("out"))
+    rows = requests.select(*keys, ts, id_col, F.col(chars).cast("bigint").alias("chars"), limit.cast("bigint").alias("most"))
+    out = fold(rows, keys, [ts, id_col], ["chars", "most"], {"allowed": "boolean", "used": "bigint"}, quota_step)
+    return out.select(*keys, id_col, "allowed", "used")
 
-    def step(s: Column, r: Column) -> Column:
-        ok = s["used"] + r["c"] <= F.col("lim")
-        used = F.when(ok, s["used"] + r["c"]).otherwise(s["used"])
-        return F.struct(used.alias("used"), F.concat(s["out"], F.array(F.struct(r["i"].alias("i"), ok.alias("ok"), used.alias("used")))).alias("out"))
 
-    out = rows.select(*keys, F.explode(F.aggregate("rs", zero, step)["out"]).alias("x"))
-    return out.select(*keys, F.col("x.i").alias(id_col), F.col("x.ok").alias("allowed"), F.col("x.used").alias("used"))
+def charged(rows: DataFrame) -> DataFrame:
+    """rows (endpoint, day, client, ms, id, outcome, global_chars, global_limit, client_chars, client_limit) with the outcome decided.
+
+    What has an outcome keeps it and costs nothing. The global charge of a day comes first and stays even if the
+    client's quota then denies; the second fold depends on the first only through its outcomes, so each is a
+    stream over its own keys.
+    """
+    all_day = fold(rows.withColumn("why", F.lit("global")), ["endpoint", "day"], ["ms", "id"], ["outcome", "global_chars", "global_limit", "why"], {"outcome": "string"}, open_quota_step)
+    own = fold(all_day.withColumn("why", F.lit("client")), ["endpoint", "day", "client"], ["ms", "id"], ["outcome", "client_chars", "client_limit", "why"], {"outcome": "string"}, open_quota_step)
+    return own.withColumn("outcome", F.coalesce("outcome", F.lit("ok"))).drop("why")
 
 
 def admission(requests: DataFrame, client_limit: int, global_limit: int) -> DataFrame:
-    """requests (endpoint, day, client, ms, id, chars) -> (endpoint, day, id, outcome).
+    """requests (endpoint, day, client, ms, id, chars) -> (endpoint, day, id, outcome): both charges."""
+    chars = F.col("chars").cast("bigint")
+    rows = requests.select("endpoint", "day", "client", "ms", "id", F.lit(None).cast("string").alias("outcome"), chars.alias("global_chars"), chars.alias("client_chars"))
+    rows = rows.withColumn("global_limit", F.lit(global_limit).cast("bigint")).withColumn("client_limit", F.lit(client_limit).cast("bigint"))
+    return charged(rows).select("endpoint", "day", "id", "outcome")
+
+
+def is_object(body: Column) -> Column:
+    """Whether a text is a JSON object; null if it isn't JSON at all."""
+    kind = F.schema_of_variant(F.try_parse_json(body))
+    return F.when(F.try_parse_json(body).isNotNull(), kind.startswith("OBJECT"))
+
+
+def validation(endpoint: Column, body: Column, message: Column) -> Column:
+    """The reason for which a request is refused before anything is charged, null if there is none."""
+    own = strip(F.coalesce(message, F.lit("")))
+    most = F.when(endpoint == "chat", MOST_CHARS["chat"]).otherwise(MOST_CHARS["translate"])
+    return F.when(is_object(body).isNull(), "bad_json").when(~is_object(body), "bad_body").when(own == "", "empty").when(F.length(own) > most, "too_long")
+
+
+def admission_full(requests: DataFrame, client_limit: Column, global_limit: Column, window_ms: int = WINDOW_MS, most: int = MOST) -> DataFrame:
+    """requests (endpoint, client, ms, day, id, body, message, suspect, context_chars) -> (endpoint, client, day, id, outcome, retry_after_ms).
 
-    The global charge comes first and stays even if the client's quota then denies. One
-    fold a (endpoint, day), with the clients' counters in a map.
+    In this order: the client's window at the endpoint, which counts requests whatever becomes of them; validation;
+    screening (chat only; ``suspect`` says whether the conversation so far is), which answers without a charge; the endpoint's
+    day; the client's day. outcome: throttled, bad_json, bad_body, empty, too_long, screened, global, client or ok. Chat charges the message and
+    its context, up to a cap each for both quotas, translation the message.
     """
-    rows = requests.groupBy("endpoint", "day").agg(F.sort_array(F.collect_list(F.struct("ms", "id", "client", F.col("chars").cast("bigint").alias("c")))).alias("rs"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("g"), F.create_map().cast("map<bigint,bigint>").alias("by"), F.array().cast("array<struct<i:bigint,o:string>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        g = s["g"] + r["c"]
-        own = F.coalesce(F.try_element_at(s["by"], r["client"]), F.lit(0).cast("bigint")) + r["c"]
-        outcome = F.when(g > global_limit, "global").when(own > client_limit, "client").otherwise("ok")
-        by = F.when((g <= global_limit) & (own <= client_limit), F.map_concat(F.map_filter(s["by"], lambda k, _: k != r["client"]), F.create_map(r["client"], own))).otherwise(s["by"])
-        return F.struct(F.when(g <= global_limit, g).otherwise(s["g"]).alias("g"), by.alias("by"), F.concat(s["out"], F.array(F.struct(r["id"].alias("i"), outcome.alias("o")))).alias("out"))
-
-    out = rows.select("endpoint", "day", F.explode(F.aggregate("rs", zero, step)["out"]).alias("x"))
-    return out.select("endpoint", "day", F.col("x.i").alias("id"), F.col("x.o").alias("outcome"))
+    chat = F.col("endpoint") == "chat"
+    own = F.length(strip(F.coalesce("message", F.lit("")))).cast("bigint")
+    n = F.when(chat, own + F.coalesce("context_chars", F.lit(0))).otherwise(own)
+    refused = F.coalesce(validation(F.col("endpoint"), F.col("body"), F.col("message")), F.when(chat & F.coalesce("suspect", F.lit(False)), "screened"))
+    rows = requests.select(
+        "endpoint", "client", "day", "ms", "id", refused.alias("refused"), global_limit.cast("bigint").alias("global_limit"), client_limit.cast("bigint").alias("client_limit"),
+        F.when(chat, F.least(n, F.lit(CHAT_GLOBAL_CAP))).otherwise(n).cast("bigint").alias("global_chars"), F.when(chat, F.least(n, F.lit(CHAT_CLIENT_CAP))).otherwise(n).cast("bigint").alias("client_chars"),
+    )
+    seen = fold(rows, ["endpoint", "client"], ["ms", "id"], ["ms"], {"denied": "boolean", "retry_after_ms": "bigint"}, throttle_step(window_ms, most))
+    decided = seen.withColumn("outcome", F.when(F.col("denied"), "throttled").otherwise(F.col("refused"))).drop("denied", "refused")
+    return charged(decided).select("endpoint", "client", "day", "id", "outcome", "retry_after_ms")
 
 
 def usage_level(percent: Column) -> Column:

@@ -101,16 +101,24 @@ def quota_global(spark, d):
     return A.quota(requests(spark, d), ["endpoint", "day"], F.lit(20_000))
 
 
-REPORTED = ["click", "view", "translate"]
+REPORTED = ["translate", "chat"]
+_USE = "CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'chat' ELSE 'translate' END"
+_LIMIT = "CASE WHEN {0}.endpoint = 'chat' THEN 100000 ELSE 50000 END"
 
 
-@query("quota_report", _quota_sql("endpoint, client, day", 1000, """, u AS (SELECT endpoint, client, day, max(used) AS used FROM r GROUP BY ALL), k AS (SELECT DISTINCT client, day, e.endpoint FROM u, (VALUES ('click'), ('view'), ('translate')) e(endpoint))
-SELECT k.client, k.day, k.endpoint, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(CASE WHEN k.endpoint = 'translate' THEN 50000 ELSE 1000 END AS BIGINT) AS most, CAST(least(100, round(100.0 * coalesce(used, 0) / CASE WHEN k.endpoint = 'translate' THEN 50000 ELSE 1000 END)) AS DOUBLE) AS percent FROM k LEFT JOIN u ON u.client = k.client AND u.day = k.day AND u.endpoint = k.endpoint"""))
+@query("quota_report", f"""WITH RECURSIVE req AS (SELECT event_id AS id, user_id AS client, {_USE} AS endpoint, epoch_us(ts) // 1000 AS ms, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, CAST(round(value * 10) AS BIGINT) * 100 AS chars FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY endpoint, client, day ORDER BY ms, id) AS k FROM req),
+r AS (SELECT endpoint, client, day, id, k, CASE WHEN chars <= {_LIMIT.format("o")} THEN chars ELSE 0 END AS used FROM o WHERE k = 1 UNION ALL
+  SELECT o.endpoint, o.client, o.day, o.id, o.k, CASE WHEN r.used + o.chars <= {_LIMIT.format("o")} THEN r.used + o.chars ELSE r.used END FROM r JOIN o ON o.endpoint = r.endpoint AND o.client = r.client AND o.day = r.day AND o.k = r.k + 1),
+u AS (SELECT endpoint, client, day, max(used) AS used FROM r GROUP BY ALL), k AS (SELECT DISTINCT client, day, e.endpoint FROM u, (VALUES ('translate'), ('chat')) e(endpoint))
+SELECT k.client, k.day, k.endpoint, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST({_LIMIT.format("k")} AS BIGINT) AS most, CAST(least(100, round(100.0 * coalesce(used, 0) / {_LIMIT.format("k")})) AS DOUBLE) AS percent FROM k LEFT JOIN u ON u.client = k.client AND u.day = k.day AND u.endpoint = k.endpoint""")
 def quota_report(spark, d):
-    """What each client used of each reported endpoint on each of its days, zero where it used none."""
-    g = quota_client(spark, d).groupBy("endpoint", "client", "day").agg(F.max("used").alias("used"))
-    limit = A.daily_limit(F.col("endpoint"), limits={"translate": A.CLIENT_LIMITS["translate"]}, other=1000)
-    return A.usage_report(g, REPORTED, ["client", "day"], limit)
+    """What each client used of both endpoints on each of its days, under their own limits; zero where it used none."""
+    chat = F.col("endpoint").isin("view", "click", "purchase")
+    r = requests(spark, d).withColumn("endpoint", F.when(chat, "chat").otherwise("translate")).withColumn("chars", F.col("chars") * 100)
+    limit = A.daily_limit(F.col("endpoint"))
+    used = A.quota(r, ["endpoint", "client", "day"], limit).groupBy("endpoint", "client", "day").agg(F.max("used").alias("used"))
+    return A.usage_report(used, REPORTED, ["client", "day"], limit)
 
 
 @query("quota_limits", "SELECT e AS endpoint, CAST(CASE WHEN e = 'translate' THEN 50000 WHEN e IN ('embed', 'chat') THEN 100000 ELSE 50000 END AS BIGINT) AS client_limit, CAST(CASE WHEN e = 'translate' THEN 500000 WHEN e IN ('embed', 'chat') THEN 1000000 ELSE 500000 END AS BIGINT) AS global_limit FROM (SELECT DISTINCT event_type AS e FROM events UNION ALL SELECT unnest(['translate', 'embed', 'chat']))")
@@ -130,6 +138,60 @@ def admission(spark, d):
     return A.admission(requests(spark, d), 1000, 20_000)
 
 
+#: Every event is a request: the newest user message of one of the conversations, with each kind of fault in some of them.
+ASKED = f"""top AS (SELECT max(conv_id) + 1 AS n FROM conversations),
+conv AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS message, bool_or({INJ}) AS suspect FROM conversations GROUP BY conv_id),
+ask AS (SELECT CASE WHEN endpoint IN ('view', 'click', 'purchase') THEN 'chat' ELSE 'translate' END AS endpoint, client, day, ms, id, chars AS context,
+  CASE WHEN id % 83 = 0 THEN '[1, 2]' WHEN id % 79 = 0 THEN '{{"k": ' ELSE props END AS body,
+  CASE WHEN id % 73 = 0 THEN '  ' WHEN id % 71 = 0 THEN repeat(message, 30) ELSE message END AS message, coalesce(suspect OR id % 67 = 0, id % 67 = 0) AS suspect
+  FROM req JOIN events ON event_id = id CROSS JOIN top LEFT JOIN conv ON conv_id = id % n)"""
+_ON = {"w": "o.endpoint = r.endpoint AND o.client = r.client", "g": "o.endpoint = r.endpoint AND o.day = r.day", "c": "o.endpoint = r.endpoint AND o.client = r.client AND o.day = r.day"}
+
+
+def _charge_sql(name: str, of: str, keys: str, on: str, chars: str, limit: str) -> str:
+    fits = f"(o.outcome IS NULL AND {{0}} + o.{chars} > {limit})"
+    first, later = fits.format("0"), fits.format("r.used")
+    cost = f"CASE WHEN o.outcome IS NULL AND NOT {{0}} THEN o.{chars} ELSE 0 END"
+    return f"""{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY ms, id) AS k FROM {of}),
+{name}_r AS (SELECT endpoint, client, day, id, k, CASE WHEN {first} THEN '{name}' ELSE outcome END AS out, {cost.format(first)} AS used FROM {name}_o o WHERE k = 1 UNION ALL
+  SELECT o.endpoint, o.client, o.day, o.id, o.k, CASE WHEN {later} THEN '{name}' ELSE o.outcome END, r.used + {cost.format(later)} FROM {name}_r r JOIN {name}_o o ON {on} AND o.k = r.k + 1),
+{name} AS (SELECT o.* EXCLUDE (outcome, k), r.out AS outcome FROM {name}_o o JOIN {name}_r r USING (id))"""
+
+
+@query("admission_full", f"""WITH RECURSIVE {REQ}, {ASKED},
+w_o AS (SELECT *, row_number() OVER (PARTITION BY endpoint, client ORDER BY ms, id) AS k FROM ask),
+w_r AS (SELECT endpoint, client, id, k, ms, ms AS start, 1 AS n FROM w_o WHERE k = 1 UNION ALL
+  SELECT o.endpoint, o.client, o.id, o.k, o.ms, CASE WHEN o.ms >= r.start + {DAY} THEN o.ms ELSE r.start END, CASE WHEN o.ms >= r.start + {DAY} THEN 1 ELSE r.n + 1 END FROM w_r r JOIN w_o o ON {_ON["w"]} AND o.k = r.k + 1),
+seen AS (SELECT a.endpoint, a.client, a.day, a.ms, a.id, CASE WHEN r.n > 2 THEN r.start + {DAY} - r.ms ELSE 0 END AS retry_after_ms,
+  length(trim(coalesce(message, ''), ' ' || chr(10))) + CASE WHEN a.endpoint = 'chat' THEN context ELSE 0 END AS chars,
+  CASE WHEN r.n > 2 THEN 'throttled' WHEN NOT json_valid(body) THEN 'bad_json' WHEN json_type(body) <> 'OBJECT' THEN 'bad_body' WHEN trim(coalesce(message, ''), ' ' || chr(10)) = '' THEN 'empty'
+    WHEN length(trim(message, ' ' || chr(10))) > CASE WHEN a.endpoint = 'chat' THEN 2000 ELSE 3000 END THEN 'too_long' WHEN a.endpoint = 'chat' AND suspect THEN 'screened' END AS outcome
+  FROM ask a JOIN w_r r USING (id)),
+sized AS (SELECT *, CASE WHEN endpoint = 'chat' THEN least(chars, 30000) ELSE chars END AS gc, CASE WHEN endpoint = 'chat' THEN least(chars, 5000) ELSE chars END AS cc, CASE WHEN endpoint = 'chat' THEN 40000 ELSE 20000 END AS gl, CASE WHEN endpoint = 'chat' THEN 1500 ELSE 600 END AS cl FROM seen),
+{_charge_sql("global", "sized", "endpoint, day", _ON["g"], "gc", "o.gl")},
+{_charge_sql("client", "global", "endpoint, client, day", _ON["c"], "cc", "o.cl")}
+SELECT endpoint, client, day, id, coalesce(outcome, 'ok') AS outcome, retry_after_ms FROM client""")
+def admission_full(spark, d):
+    """All of a day's gates over the events, each asking with the newest user message of a conversation."""
+    return A.admission_full(asked(spark, d), F.when(F.col("endpoint") == "chat", 1500).otherwise(600), F.when(F.col("endpoint") == "chat", 40_000).otherwise(20_000), window_ms=DAY, most=2)
+
+
+def asked(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    c = table(spark, d, "conversations")
+    conv = c.groupBy("conv_id").agg(F.expr("max_by(text, turn) FILTER (WHERE role = 'user')").alias("message"), F.bool_or(S.injection(text)).alias("flag"))
+    r = requests(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("id"), "props"), "id")
+    r = r.join(F.broadcast(c.agg((F.max("conv_id") + 1).alias("n"))))  # one row
+    r = r.join(conv, F.col("conv_id") == F.col("id") % F.col("n"), "left")
+    body = F.when(F.col("id") % 83 == 0, "[1, 2]").when(F.col("id") % 79 == 0, '{"k": ').otherwise(F.col("props"))
+    message = F.when(F.col("id") % 73 == 0, "  ").when(F.col("id") % 71 == 0, F.repeat("message", F.lit(30))).otherwise(F.col("message"))
+    chat = F.col("endpoint").isin("view", "click", "purchase")
+    return r.select(
+        F.when(chat, "chat").otherwise("translate").alias("endpoint"), "client", "day", "ms", "id", body.alias("body"), message.alias("message"),
+        (F.coalesce("flag", F.lit(False)) | (F.col("id") % 67 == 0)).alias("suspect"), F.col("chars").cast("bigint").alias("context_chars"),
+    )
+
+
 @query("kst_day", f"WITH {REQ} SELECT id, day FROM req")
 def kst_day(spark, d):
     return requests(spark, d).select("id", "day")
@@ -154,11 +216,17 @@ def charge_chars(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.least(n + 12_000, F.lit(A.CHAT_GLOBAL_CAP)).cast("bigint").alias("global_chars"), F.least(n + 12_000, F.lit(A.CHAT_CLIENT_CAP)).cast("bigint").alias("client_chars"), n.cast("bigint").alias("translate_chars"))
 
 
-@query("request_status", "SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 400 WHEN length(trim(text)) > 2000 THEN 413 ELSE 200 END AS chat, CASE WHEN text IS NULL OR trim(text) = '' THEN 400 WHEN length(trim(text)) > 3000 THEN 413 ELSE 200 END AS translate FROM conversations")
+def _status_sql(name: str, most: int) -> str:
+    why = f"CASE WHEN trim(coalesce(text, ''), ' ' || chr(10)) = '' THEN 'empty' WHEN length(trim(text, ' ' || chr(10))) > {most} THEN 'too_long' END"
+    return f"{why} AS {name}_reason, CASE WHEN {why} IS NULL THEN 200 ELSE 400 END AS {name}"
+
+
+@query("request_status", f"SELECT conv_id, turn, {_status_sql('chat', 2000)}, {_status_sql('translate', 3000)} FROM conversations")
 def request_status(spark, d):
-    t = strip(F.col("text"))
-    status = lambda most: F.when(F.col("text").isNull() | (t == ""), 400).when(F.length(t) > most, 413).otherwise(200)
-    return table(spark, d, "conversations").select("conv_id", "turn", status(2000).alias("chat"), status(3000).alias("translate"))
+    """Whether a message would be let in by itself; any fault is answered with 400. Bodies are judged in ``admission_full``."""
+    c = table(spark, d, "conversations")
+    why = {name: A.validation(F.lit(name), F.lit("{}"), F.col("text")) for name in ("chat", "translate")}
+    return c.select("conv_id", "turn", *(x for n, w in why.items() for x in (w.alias(f"{n}_reason"), F.when(w.isNull(), 200).otherwise(400).alias(n))))
 
 
 @query("usage_by_day", f"WITH {REQ} SELECT client, day, CAST(sum(chars) AS BIGINT) AS used, day = (SELECT max(day) FROM req) AS today FROM req GROUP BY client, day")
