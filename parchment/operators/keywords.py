@@ -1,6 +1,7 @@
 """Keyword extraction: TF-IDF, graph ranking and weighted n-grams, per document.
 
 Tokens are lower-cased and come page by page; stopwords, fragments and bare numbers are out.
+``docs`` are documents or stored pages (``sources.token_store``), whose joins and counts by document need no exchange.
 Ranks break ties by first occurrence. Pages and contexts are joined to the top terms only.
 TextRank iterates on one document's graph at a time in numpy (its stopping rule is per
 document); everything else is DataFrame operations.
@@ -29,7 +30,8 @@ def stopword(t: Column) -> Column:
 def page_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, page, ts): lower-cased tokens of each page, blank pages too."""
     ap = all_pages(docs)
-    return ap.select("doc_id", "page", F.transform(F.regexp_extract_all("concat", F.lit(TOKEN), F.lit(0)), F.lower).alias("ts"))
+    found = F.transform("toks", lambda t: F.lower(t["token"])) if "toks" in ap.columns else F.transform(F.regexp_extract_all("concat", F.lit(TOKEN), F.lit(0)), F.lower)
+    return ap.select("doc_id", "page", found.alias("ts"))
 
 
 def kept_tokens(docs: DataFrame) -> DataFrame:

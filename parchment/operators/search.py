@@ -54,8 +54,8 @@ def _located(df: DataFrame, start: Column, end: Column, matched: Column | None =
 
 
 def with_tokens(pg: DataFrame) -> DataFrame:
-    """pages with toks, array<struct<token, start, end>>; write it once to search often."""
-    return pg.withColumn("toks", T.tokens(F.col("concat")))
+    """pages with toks, array<struct<token, start, end>>; stored pages have them (``sources.token_store``)."""
+    return pg if "toks" in pg.columns else pg.withColumn("toks", T.tokens(F.col("concat")))
 
 
 def match_runs(pg: DataFrame, keys: list[str], key_of, spans: bool = True) -> DataFrame:
@@ -244,7 +244,7 @@ def _fallback_of(pg: DataFrame, q: str, case_sensitive: bool) -> DataFrame:
 
 
 def search_terms(docs: DataFrame, terms: list[tuple[str, str, str]], case_sensitive: bool = False) -> DataFrame:
-    """terms: (term, color, label). FIELDS, tier, term_ord, color, label and id: each term by itself, doubles at one
+    """docs: documents or stored pages. terms: (term, color, label). FIELDS, tier, term_ord, color, label and id: each term by itself, doubles at one
     (page, item, char_start) keeping the lowest tier, then one row for each id and label."""
     pg, joined, parts, plain = with_tokens(pages(docs)), None, [], []
     for n, (term, _, _) in enumerate(terms):

@@ -9,6 +9,7 @@ from parchment.operators import keywords as K
 from parchment.plans import sql
 from parchment.plans.registry import query
 from parchment.sources.tables import table
+from parchment.sources.token_store import stored
 
 
 def docs(spark, d):
@@ -138,3 +139,33 @@ def kw_ngram_pages(spark, d):
 SELECT t.doc_id, g AS term, CAST(row_number() OVER w AS INT) AS k, page, item_index, left(text, 120) AS snippet FROM (SELECT doc_id, g FROM gt) t JOIN items i ON i.doc_id = t.doc_id AND contains(lower(text), string_split(g, ' ')[1]) AND regexp_matches(text, '(?is)' || array_to_string(string_split(g, ' '), '[\s\S]{{0,30}}')) WINDOW w AS (PARTITION BY t.doc_id, g ORDER BY page, item_index) QUALIFY k <= 3""")
 def kw_ngram_contexts(spark, d):
     return K.ngram_contexts(K.ngrams(docs(spark, d)), docs(spark, d))
+
+
+def _rows_sql(name: str, of: str, term: str, score: str, frequency: str, tag: str, pages: str, found: str) -> str:
+    """Rows of one list with everything that belongs to a keyword."""
+    return f"""SELECT t.doc_id, '{name}' AS algorithm, t.rank, t.{term} AS term, {score} AS score, t.{frequency} AS frequency, round(t.{frequency} / tot.n_tokens * 100, 6) AS percent,
+  {COLOR.replace("rank", "t.rank")} AS color, {tag} AS tag, coalesce({pages}, '') AS pages,
+  coalesce((SELECT string_agg(c.page || ':' || c.item_index || ':' || c.snippet, '|' ORDER BY c.nth) FROM {found} c WHERE c.doc_id = t.doc_id AND c.term = t.{term}), '') AS contexts
+  FROM {of} t JOIN tot USING (doc_id)"""
+
+
+_WORD_PAGES = "(SELECT string_agg(page, ',' ORDER BY page) FROM (SELECT DISTINCT page FROM seq s WHERE s.doc_id = t.doc_id AND s.term = t.term))"
+_UNIT_TAG = f"CASE WHEN t.term IN ({_in(V.UNITS)}) THEN 'unit' END"
+_WORDS = "words AS (SELECT doc_id, term FROM top UNION SELECT doc_id, term FROM gr20)"
+_WORD_FOUND = r"""wf AS (SELECT t.doc_id, t.term, row_number() OVER w AS nth, i.page, i.item_index, left(i.text, 120) AS snippet FROM words t JOIN items i ON i.doc_id = t.doc_id
+  AND CASE WHEN regexp_full_match(term, '[A-Za-z0-9_]+') THEN regexp_matches(text, '(?i)\b' || term || '\b') ELSE contains(lower(text), term) END WINDOW w AS (PARTITION BY t.doc_id, t.term ORDER BY i.page, i.item_index) QUALIFY nth <= 3)"""
+_GRAM_FOUND = r"""gf AS (SELECT t.doc_id, g AS term, row_number() OVER w AS nth, page, item_index, left(text, 120) AS snippet FROM gt t JOIN items i ON i.doc_id = t.doc_id AND contains(lower(text), string_split(g, ' ')[1])
+  AND regexp_matches(text, '(?is)' || array_to_string(string_split(g, ' '), '[\s\S]{0,30}')) WINDOW w AS (PARTITION BY t.doc_id, g ORDER BY page, item_index) QUALIFY nth <= 3)"""
+
+
+@query("kw_rows", f"""WITH RECURSIVE {TOP_GRAPH}, {NGRAM[len(BASE) + 1:].strip()}, {RANKED}, {TFIDF[len(BASE) + 1:].strip()}, {_WORDS}, {_WORD_FOUND}, {_GRAM_FOUND}, {GRAM_PAGES},
+gp AS (SELECT doc_id, g, string_agg(DISTINCT page, ',' ORDER BY page) AS pages FROM pgr GROUP BY doc_id, g)
+{_rows_sql("tfidf", "top", "term", "round(t.raw / best, 6)", "tf", _UNIT_TAG, _WORD_PAGES, "wf")} UNION ALL
+{_rows_sql("textrank", "gr20", "term", "round(t.raw / best, 6)", "tf", _UNIT_TAG, _WORD_PAGES, "wf")} UNION ALL
+{_rows_sql("ngram", "gt", "g", "round(CAST(t.raw AS DOUBLE) / best, 6)", "frequency", "[NULL, 'bigram', 'trigram'][t.k]", "(SELECT pages FROM gp WHERE gp.doc_id = t.doc_id AND gp.g = t.g)", "gf")}""")
+def kw_rows(spark, d):
+    """Every column of the keywords of all three algorithms, from stored pages."""
+    rows = K.keywords(stored(spark.read.parquet(f"{d}/documents.parquet")))
+    part = F.transform("contexts", lambda c: F.concat(c["page"].cast("string"), F.lit(":"), c["item_index"].cast("string"), F.lit(":"), c["snippet"]))
+    pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")
+    return rows.withColumn("pages", F.coalesce(pages, F.lit(""))).withColumn("contexts", F.coalesce(F.array_join(part, "|"), F.lit("")))

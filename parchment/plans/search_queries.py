@@ -10,6 +10,7 @@ from parchment.operators import search as S
 from parchment.plans import sql
 from parchment.plans.registry import query
 from parchment.sources.tables import pages, table
+from parchment.sources.token_store import stored
 
 ROW = 'doc_id, page, item_index, "start", matched, context, char_start, char_end, n_spans'
 CTE = sql.TOKENS + ", hits AS (@HITS@)," + sql.LOCATED
@@ -127,6 +128,12 @@ def search_terms(spark, d):
     return flat(terms(spark, d), "tier", "color", "label", "id")
 
 
+@query("search_stored", _terms_sql(f"SELECT {ROW}, tier, color, label, id FROM found"))
+def search_stored(spark, d):
+    """The same search over stored pages: nothing is tokenised again, documents are where their buckets are."""
+    return flat(S.search_terms(stored(spark.read.parquet(f"{d}/documents.parquet")), TERMS), "tier", "color", "label", "id")
+
+
 @query("matches_on_page", _terms_sql("SELECT doc_id, id, label FROM found WHERE page = 2"))
 def matches_on_page(spark, d):
     return terms(spark, d).filter("page = 2").select("doc_id", "id", "label")
