@@ -6,7 +6,7 @@ from importlib import import_module
 
 from parchment.plans.registry import ORACLES, QUERIES
 
-MODULES = ("text_queries", "search_queries", "keyword_queries", "service_queries", "selection_queries", "state_queries")
+MODULES = ("text_queries", "search_queries", "keyword_queries", "service_queries", "selection_queries", "state_queries", "view_queries")
 
 
 def load() -> tuple[dict, dict]:
