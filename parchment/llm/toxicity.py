@@ -11,9 +11,9 @@ The model is fitted on the driver from at most ``max_toxic`` and ``max_clean`` l
 at every corpus size), and the intercept is then set back to the class shares among all
 labelled rows. Only terms whose presence depends on the label (chi-square of at least
 ``min_chi2``) get parameters, at most ``max_terms``; every other term of a text counts
-nothing, so the model that is sent to the tasks has a fixed bound. Of a document that is
-learnt from, at most ``max_doc_terms`` terms, those with the smallest hashes, reach the
-driver, and of rows that repeat an id only ``max_rows_per_id``; every document's whole text is scored.
+nothing, so the model that is sent to the tasks has a fixed bound. Terms are counted by Spark
+over the whole texts of the rows learnt from, and only those that get parameters reach the driver; of rows that
+repeat an id ``max_rows_per_id`` are learnt from. Every document's whole text is scored.
 
 Results for odd input: null and empty texts have no terms and score the intercept; without
 labelled rows of both classes the score is the smoothed class share of all; labels of null
@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
 from parchment.llm.rows import col, numbered, restored
+from parchment.llm.storage import release, store
 
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
 RANK = 4
 THRESHOLD = 0.7
+#: Terms that get parameters at most, and how much their presence must depend on the label.
+MAX_TERMS, MIN_CHI2 = 20_000, 10.8
 
 
 def word_terms(word: str) -> list[int]:
@@ -83,28 +86,37 @@ class Model:
         return score
 
 
-def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, rank: int = RANK, epochs: int = 100, rate: float = 0.1, decay: float = 1e-5, max_terms: int = 20_000, min_chi2: float = 10.8, seed: int = 7) -> Model:
-    """rows: (hashes of the terms, label 0 or 1). share: of class 1 where it differs from that of the rows."""
+def chi_square(df, df1, pos, n):
+    """How much a term's presence (df rows, df1 of them of class 1) depends on the class (pos of n rows)."""
+    expected = df * pos / n
+    return (df1 - expected) ** 2 / expected + (df1 - expected) ** 2 / (df - expected)
+
+
+def chosen(rows: list[tuple[np.ndarray, int]], max_terms: int, min_chi2: float) -> np.ndarray:
+    """The terms that get parameters, from rows in memory."""
+    y = np.array([label for _, label in rows], np.float64)
+    terms, at = np.unique(np.concatenate([t for t, _ in rows]), return_inverse=True)
+    doc = np.repeat(np.arange(len(rows)), [len(t) for t, _ in rows])
+    df, df1 = np.bincount(at, minlength=len(terms)).astype(np.float64), np.bincount(at, weights=y[doc], minlength=len(terms))
+    chi2 = np.where(df < 2, 0, chi_square(df, df1, y.sum(), len(y)))
+    keep = np.flatnonzero(chi2 >= min_chi2)
+    return terms[np.sort(keep[np.argsort(-chi2[keep], kind="stable")][:max_terms])]
+
+
+def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, kept: np.ndarray | None = None, rank: int = RANK, epochs: int = 100, rate: float = 0.1, decay: float = 1e-5, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, seed: int = 7) -> Model:
+    """rows: (hashes of the terms, label 0 or 1). share: of class 1 where it differs from that of the rows. kept: the terms that get parameters, sorted."""
     y = np.array([label for _, label in rows], np.float64)
     n, pos = len(y), float(y.sum())
     share = (pos + 1) / (n + 2) if share is None else share
     odds = float(np.log(share / (1 - share)))
     if not pos or pos == n:
         return Model(odds)
-    sizes = np.array([len(t) for t, _ in rows])
-    terms, at = np.unique(np.concatenate([t for t, _ in rows]), return_inverse=True)
-    doc = np.repeat(np.arange(n), sizes)
-    df = np.bincount(at, minlength=len(terms)).astype(np.float64)
-    df1 = np.bincount(at, weights=y[doc], minlength=len(terms))
-    expected = df * pos / n
-    chi2 = (df1 - expected) ** 2 / np.maximum(expected, 1e-9) + (df1 - expected) ** 2 / np.maximum(df - expected, 1e-9)
-    chi2[df < 2] = 0
-    keep = np.flatnonzero(chi2 >= min_chi2)
-    keep = np.sort(keep[np.argsort(-chi2[keep], kind="stable")][:max_terms])
-    place = np.full(len(terms), -1)
-    place[keep] = np.arange(len(keep))
-    inside = place[at] >= 0
-    doc, at, m = doc[inside], place[at[inside]], len(keep)
+    kept = chosen(rows, max_terms, min_chi2) if kept is None else kept
+    every = np.concatenate([t for t, _ in rows])
+    doc = np.repeat(np.arange(n), [len(t) for t, _ in rows])
+    at = np.searchsorted(kept, every)
+    inside = (at < len(kept)) & (kept[np.minimum(at, len(kept) - 1)] == every) if len(kept) else np.zeros(len(every), bool)
+    doc, at, m = doc[inside], at[inside], len(kept)
     bounds = np.searchsorted(doc, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(m), rng.normal(0, 0.01, (m, rank)), float(np.log(pos / (n - pos)))
@@ -128,19 +140,25 @@ def fit(rows: list[tuple[np.ndarray, int]], share: float | None = None, rank: in
             g0, gw, gv = g0 + d0 * d0, gw + dw * dw, gv + dv * dv
             w0, w, v = w0 - rate * d0 / np.sqrt(g0), w - rate * dw / np.sqrt(gw), v - rate * dv / np.sqrt(gv)
     w0 += odds - float(np.log(pos / (n - pos)))
-    return Model(w0, terms[keep], w.astype(np.float32), v.astype(np.float32))
+    return Model(w0, kept, w.astype(np.float32), v.astype(np.float32))
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [np.unique(np.array([t for w in text_words(x) for t in word_terms(w)], np.uint64)).view(np.int64) for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
 
 
-def _terms(most: int):
+def _only(kept: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(np.array([t for w in text_words(x) for t in word_terms(w)], np.uint64))[:most].view(np.int64) for x in b.column(1).to_pylist()]
+            found = [np.intersect1d(t.values.to_numpy(zero_copy_only=False).view(np.uint64), kept, assume_unique=True).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["label", "terms"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000, max_doc_terms: int = 50_000, max_rows_per_id: int = 8, **kw) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", max_toxic: int = 2000, max_clean: int = 4000, max_rows_per_id: int = 8, max_terms: int = MAX_TERMS, min_chi2: float = MIN_CHI2, **kw) -> Model:
     """A model from the labelled documents. labels: (id_col, label_col), the rows to learn from and no others."""
     known = labels.filter(col(label_col).isin(0, 1)).select(col(id_col).alias("known_id"), col(label_col).cast("int").alias("label"))
     shares = dict(known.groupBy("label").count().collect())
@@ -150,11 +168,19 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     # equal rows are as good as one to learn from; of rows that share an id but not a text the first few by hash
     own = Window.partitionBy("known_id", "label").orderBy(F.xxhash64("t"))
     texts = texts.withColumn("n", F.row_number().over(own)).filter(F.col("n") <= max_rows_per_id)
-    rows = texts.select("label", "t").mapInArrow(_terms(max_doc_terms), "label int, terms array<bigint>").toArrow()
-    data = [(t.values.to_numpy(zero_copy_only=False).view(np.uint64), y) for t, y in zip(rows.column("terms"), rows.column("label").to_pylist())]
-    pos, neg = shares.get(1, 0), shares.get(0, 0)
+    rows = store(texts.select("label", "t").mapInArrow(_terms, "label int, terms array<bigint>"))
+    n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    kept = np.zeros(0, np.uint64)
+    if 0 < pos < n:
+        counted = rows.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").cast("double").alias("df"), F.sum("label").cast("double").alias("df1")).filter("df > 1")
+        best = counted.select("term", chi_square(F.col("df"), F.col("df1"), F.lit(float(pos)), F.lit(float(n))).alias("chi2")).filter(F.col("chi2") >= min_chi2)
+        best = best.orderBy(F.desc("chi2"), "term").limit(max_terms).select("term").toArrow()
+        kept = np.sort(best.column("term").to_numpy().view(np.uint64))
+    few = rows.mapInArrow(_only(kept), "label int, terms array<bigint>").toArrow()
+    data = [(t.values.to_numpy(zero_copy_only=False).view(np.uint64), y) for t, y in zip(few.column("terms"), few.column("label").to_pylist())]
     data.sort(key=lambda r: (r[1], len(r[0]), r[0].tobytes()))  # the same model whatever the order of arrival
-    return fit(data, (pos + 1) / (pos + neg + 2), **kw)
+    release(rows)
+    return fit(data, (shares.get(1, 0) + 1) / (shares.get(1, 0) + shares.get(0, 0) + 2), kept, **kw)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
