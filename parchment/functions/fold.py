@@ -52,6 +52,35 @@ def fold(text: Column, lower: bool = True) -> Column:
     return F.lower(out) if lower else out
 
 
+def fold_each(char: Column, lower: bool = True) -> Column:
+    """What one character folds to: none, one or several characters; Hangul syllables become their two or three letters."""
+    source, target, grow = tables()
+    grown = F.create_map(*(F.lit(x) for c, f in sorted(grow.items()) for x in (c, f)))
+    at = F.ascii(char) - HANGUL[0]
+    letters = lambda first, n: F.array(*(F.lit(chr(first + k)) for k in range(n)))
+    last = F.get(F.array(F.lit(""), *(F.lit(chr(0x11A8 + k)) for k in range(27))), (at % 28).cast("int"))
+    syllable = F.concat(F.get(letters(0x1100, 19), F.floor(at / 588).cast("int")), F.get(letters(0x1161, 21), F.floor(at % 588 / 28).cast("int")), last)
+    other = F.coalesce(F.try_element_at(grown, char), F.translate(char, source, target))
+    out = F.when(char.rlike(r"^[\x00-\x7F]$"), char).when(char.rlike("^[가-힣]$"), syllable).otherwise(other)
+    return F.lower(out) if lower else out
+
+
+def fold_map(text: Column, lower: bool = True) -> Column:
+    """struct<folded, at>: the text folded character by character, and for each folded character the place of its own in the text.
+
+    Characters that fold to several have several places alike, those that vanish have none, so any span of the folded text leads back.
+    """
+    own = F.filter(F.split(text, ""), lambda c: c != "")
+    pieces = F.transform(own, lambda c: fold_each(c, lower))
+    places = lambda p: F.flatten(F.transform(p, lambda f, i: F.when(F.length(f) > 0, F.array_repeat(i, F.length(f))).otherwise(F.array().cast("array<int>"))))
+    return let(pieces, lambda p: F.struct(F.array_join(p, "").alias("folded"), places(p).alias("at")))
+
+
+def original_span(at: Column, start: Column, end: Column) -> Column:
+    """struct<start, end>: the part of the text that a span of the folded text comes from, whole characters."""
+    return F.struct(F.get(at, start).alias("start"), (F.get(at, end - 1) + 1).alias("end"))
+
+
 def hangul_grown(key: Column) -> Column:
     """The key with each Hangul syllable as long as its decomposition (2 or 3 characters), for edit distances."""
     open_ = "".join(chr(n) for n in range(HANGUL[0], HANGUL[1] + 1, 28))

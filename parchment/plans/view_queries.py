@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from parchment.functions import nearest as N
+from parchment.functions import fold as folding, nearest as N
 from parchment.operators import highlights, keywords as K, result_list as R
 from parchment.plans import sql
 from parchment.plans.keyword_queries import NGRAM, RANKED, TFIDF, BASE
@@ -119,3 +119,23 @@ def go_to_result(spark, d):
     sizes = m.groupBy("doc_id").agg(F.count("*").alias("n"))
     now = docs.join(sizes, "doc_id", "left").select("doc_id", F.when(F.col("n") > 0, 0).otherwise(-1).cast("bigint").alias("at"), (F.col("doc_id") % 7 - 1).alias("wanted"))
     return R.go_to(m, now)
+
+
+#: Letters replaced, so that the documents hold a syllable of two letters, one of three, a ligature and a fraction.
+_GREW = ("thea", "가각ﬁ½")
+_GROWN = {c: folding.fold_char(c) for c in _GREW[1]}
+_EACH = "CASE c " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in _GROWN.items()) + f" ELSE {sql.FOLD.format('c')} END"
+
+
+@query("fold_offsets", f"""WITH {sql.ITEMS}, t AS (SELECT doc_id, page, item_index, translate(text, '{_GREW[0]}', '{_GREW[1]}') AS text FROM items),
+f AS (SELECT doc_id, page, item_index, text, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: {_EACH}) AS ps FROM t),
+g AS (SELECT *, array_to_string(ps, '') AS folded, flatten(list_transform(range(1, len(ps) + 1), lambda i: list_transform(range(length(ps[i])), lambda k: i - 1))) AS at FROM f),
+h AS (SELECT *, strpos(folded, 'fi') AS pl FROM g)
+SELECT doc_id, page, item_index, folded, array_to_string(at, ',') AS at, CAST(CASE WHEN pl > 0 THEN at[pl] END AS INT) AS "start", CAST(CASE WHEN pl > 0 THEN at[pl + 1] + 1 END AS INT) AS "end" FROM h""")
+def fold_offsets(spark, d):
+    """Items with characters that grow when they are folded: the folded text, the way back, and the first ``fi`` found in it, led back."""
+    it = items(table(spark, d, "documents")).select("doc_id", "page", "item_index", F.translate("text", *_GREW).alias("text"))
+    m = it.select("doc_id", "page", "item_index", folding.fold_map(F.col("text")).alias("m")).withColumn("pl", F.instr(F.col("m.folded"), "fi") - 1)
+    back = F.when(F.col("pl") >= 0, folding.original_span(F.col("m.at"), F.col("pl"), F.col("pl") + 2)).alias("s")
+    rows = m.select("doc_id", "page", "item_index", "m.folded", F.array_join(F.transform("m.at", lambda i: i.cast("string")), ",").alias("at"), back)
+    return rows.select("doc_id", "page", "item_index", "folded", "at", "s.start", "s.end")
