@@ -129,3 +129,9 @@ def usage_level(percent: Column) -> Column:
     """low if at most 15 remain, depleted if none."""
     left = 100 - F.greatest(F.lit(0), F.least(F.lit(100), percent))
     return F.when(left <= 0, "depleted").when(left <= 15, "low").otherwise("ok")
+
+
+def usage_color(*percents: Column) -> Column:
+    """red from 90 percent of the fullest quota, amber from 70."""
+    most = F.greatest(*percents) if len(percents) > 1 else percents[0]
+    return F.when(most >= 90, "red").when(most >= 70, "amber").otherwise("gray")

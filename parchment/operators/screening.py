@@ -76,3 +76,12 @@ def outcomes(messages: DataFrame) -> DataFrame:
     m = m.withColumn("seen", seen).withColumn("next_role", F.lead("role").over(w)).withColumn("next_leaky", F.lead("leaky").over(w))
     kind = F.when(F.col("seen"), "blocked").when((F.col("next_role") == "assistant") & F.col("next_leaky"), "leak").otherwise("reply")
     return m.filter("role = 'user'").select("conv_id", "turn", kind.alias("outcome"))
+
+
+def client_history(messages: DataFrame, is_error: str) -> DataFrame:
+    """messages (conv_id, turn, role, text, is_error) before the newest of each conversation, without errors; role user or model."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id")
+    rows = messages.withColumn("newest", F.max("turn").over(w)).filter(F.col("turn") < F.col("newest")).filter(~F.coalesce(is_error, F.lit(False)))
+    return rows.withColumn("role", F.when(F.col("role") == "user", "user").otherwise("model")).drop("newest")

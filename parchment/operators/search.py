@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parchment.functions import fold as folding
 from parchment.functions import text as T
+from parchment.functions.fixed_values import PALETTE
 from parchment.sources.tables import pages
 
 CONTEXT = 80
@@ -277,3 +278,12 @@ def search_terms(docs: DataFrame, terms: list[tuple[str, str, str]], case_sensit
 def search_document(docs: DataFrame, q: str, case_sensitive: bool = False) -> DataFrame:
     """FIELDS and tier for one query; doubles at one (page, item, char_start) keep the lowest tier."""
     return search_terms(docs, [(q, "", "")], case_sensitive).drop("term_ord", "color", "label", "id")
+
+
+def term_list(added: DataFrame, list_col: str, case_sensitive: bool = False) -> DataFrame:
+    """added (list_col, at, t), terms in the order of at -> (list_col, term, color): trimmed, blank ones and doubles refused, colors in turn."""
+    rows = added.select(list_col, "at", T.strip(F.col("t")).alias("term")).filter("term <> ''")
+    key = F.col("term") if case_sensitive else F.lower("term")
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy(list_col, key).orderBy("at"))).filter("n = 1")
+    place = (F.row_number().over(Window.partitionBy(list_col).orderBy("at")) - 1) % len(PALETTE)
+    return one.select(list_col, "term", F.get(F.array(*map(F.lit, PALETTE)), place).alias("color"))

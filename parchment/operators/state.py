@@ -49,3 +49,25 @@ def error_message(code: Column, detail: Column) -> Column:
     for c, text in MESSAGES.items():
         out = out.when(code == c, text)
     return out.otherwise(UNKNOWN)
+
+
+MODES, TABS = ("scroll", "page"), ("search", "keywords", "chat")
+
+
+def migrated(saved: DataFrame, state: str = "state") -> DataFrame:
+    """saved with (seen, translate, chat, day, mode, tab) from the JSON text of a state; what isn't well typed or known gets its default.
+
+    The daily usage is taken as a whole: both counts numbers and the day a text, or none of it.
+    """
+    v = F.try_parse_json(state)
+    part = lambda path: F.try_variant_get(v, path, "variant")
+    kind = lambda path: F.schema_of_variant(part(path))
+    number = lambda path: F.coalesce(kind(path).rlike("^(BIGINT|DOUBLE|DECIMAL.*)$"), F.lit(False))
+    text = lambda path: F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string"))
+    used = number("$.dailyUsage.translate") & number("$.dailyUsage.chat") & text("$.dailyUsage.date").isNotNull()
+    count = lambda path: F.when(used, F.try_variant_get(v, path, "double")).otherwise(0.0)
+    one_of = lambda path, known: F.when(text(path).isin(*known), text(path)).otherwise(known[0])
+    return saved.select(
+        "*", F.coalesce(F.when(kind("$.hasSeenTutorial") == "BOOLEAN", F.try_variant_get(v, "$.hasSeenTutorial", "boolean")), F.lit(False)).alias("seen"), count("$.dailyUsage.translate").alias("translate"),
+        count("$.dailyUsage.chat").alias("chat"), F.when(used, text("$.dailyUsage.date")).otherwise("").alias("day"), one_of("$.viewerMode", MODES).alias("mode"), one_of("$.sidebarTab", TABS).alias("tab"),
+    )

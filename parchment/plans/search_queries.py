@@ -71,15 +71,24 @@ def search_fuzzy(spark, d):
     return flat(S.fuzzy(tok(spark, d), "thing"))
 
 
-CJK_DOCS = [(1, "인공지능은 강력하다\n인공 지능 (AI) 연구\n\n다른 줄\n電腦 科學\n끝 줄 하나"), (2, "no hit here\n가나다"), (3, "인공지\n능 둘로 나뉜 낱말, 그리고 아주 긴 줄이 뒤에 옵니다 그리고 더 긴 줄이 있습니다 그리고 끝입니다 여기까지 입니다 아마도 팔십 글자를 넘을 것입니다 정말로")]
-_CJK = ", ".join("({}, '{}')".format(i, t.replace("\n", "' || chr(10) || '")) for i, t in CJK_DOCS)
+#: Letters of the documents replaced by CJK ones.
+CJK_LETTERS = ("thea", "인공지능")
 
 
-@query("search_cjk", rf"""WITH documents(doc_id, text) AS (VALUES {_CJK}), {sql.ITEMS},
+def cjk_docs(spark, d):
+    return docs(spark, d).select("doc_id", F.translate("text", *CJK_LETTERS).alias("text"))
+
+
+_CJK_ITEMS = sql.ITEMS.replace("FROM documents", f"FROM (SELECT doc_id, translate(text, '{CJK_LETTERS[0]}', '{CJK_LETTERS[1]}') AS text FROM documents)")
+
+
+def _cjk_sql(q: str) -> str:
+    k = len(q)
+    return rf"""WITH {_CJK_ITEMS},
 o AS (SELECT *, row_number() OVER w - 1 AS k, CAST(coalesce(sum(length(text)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, CAST(sum(length(text)) OVER w AS BIGINT) AS b FROM items WINDOW w AS (PARTITION BY doc_id, page ORDER BY item_index)),
 p AS (SELECT doc_id, page, string_agg(text, '' ORDER BY item_index) AS concat, count(*) AS n FROM items GROUP BY ALL),
 m AS (SELECT *, regexp_replace(concat, '[^\p{{L}}\p{{N}}]', '', 'g') AS st, list_filter(range(0, length(concat)), lambda i: regexp_matches(substr(concat, i + 1, 1), '[\p{{L}}\p{{N}}]')) AS map FROM p),
-h AS (SELECT doc_id, page, concat, n, map[i] AS s, map[i + 3] + 1 AS e FROM (SELECT *, unnest(list_filter(range(1, length(st) - 2), lambda i: substr(st, i, 4) = '인공지능')) AS i FROM m)),
+h AS (SELECT doc_id, page, concat, n, map[i] AS s, map[i + {k} - 1] + 1 AS e FROM (SELECT *, unnest(list_filter(range(1, length(st) - {k} + 2), lambda i: substr(st, i, {k}) = '{q}')) AS i FROM m)),
 g AS (SELECT h.*, (SELECT min(k) FROM o WHERE o.doc_id = h.doc_id AND o.page = h.page AND b > s) AS lo, (SELECT max(k) FROM o WHERE o.doc_id = h.doc_id AND o.page = h.page AND a < e) AS hi FROM h),
 grow AS (WITH RECURSIVE r AS (
   SELECT doc_id, page, s, e, n, lo, hi, CAST((SELECT sum(length(text)) FROM o WHERE o.doc_id = g.doc_id AND o.page = g.page AND k BETWEEN lo AND hi) AS BIGINT) AS c, 0 AS step FROM g
@@ -92,17 +101,19 @@ SELECT w.doc_id, w.page, (SELECT arg_min(item_index, a) FROM o WHERE o.doc_id =
   (SELECT string_agg(text, '' ORDER BY k) FROM o WHERE o.doc_id = w.doc_id AND o.page = w.page AND k BETWEEN lo AND hi) AS context,
   CAST(s - (SELECT a FROM o WHERE o.doc_id = w.doc_id AND o.page = w.page AND k = lo) AS INT) AS char_start, CAST(e - (SELECT a FROM o WHERE o.doc_id = w.doc_id AND o.page = w.page AND k = lo) AS INT) AS char_end,
   (SELECT count(*) FROM o WHERE o.doc_id = w.doc_id AND o.page = w.page AND b > s AND a < e) AS n_spans
-FROM grow w JOIN p ON p.doc_id = w.doc_id AND p.page = w.page""")
+FROM grow w JOIN p ON p.doc_id = w.doc_id AND p.page = w.page"""
+
+
+@query("search_cjk", _cjk_sql("인공지능"))
 def search_cjk(spark, d):
-    df = spark.createDataFrame(CJK_DOCS, "doc_id int, text string")
-    return flat(S.cjk(pages(df, ""), "인공 지능"))
+    """A word of CJK letters across spaces and line ends, over documents some of whose letters are such."""
+    return flat(S.cjk(pages(cjk_docs(spark, d), ""), "인공 지능"))
 
 
-@query("cjk_context", """WITH t(k, s, e, context) AS (VALUES (1, 0, 4, '인공지능은 강력하다인공 지능 (AI) 연구다른 줄電腦 科學')) SELECT k, s AS char_start, e AS char_end, context FROM t""")
+@query("cjk_context", f"SELECT doc_id, page, \"start\", char_start, char_end, context FROM ({_cjk_sql('능지인')})")
 def cjk_context(spark, d):
-    df = spark.createDataFrame([CJK_DOCS[0]], "doc_id int, text string")
-    rows = S.cjk(pages(df, ""), "인공지능").filter("page = 1 and start = 0")
-    return rows.select(F.lit(1).alias("k"), "char_start", "char_end", "context")
+    """What is shown around a match: its items and more on either side in turn, up to eighty characters."""
+    return S.cjk(pages(cjk_docs(spark, d), ""), "능지인").select("doc_id", "page", "start", "char_start", "char_end", "context")
 
 
 @query("search_document", f"WITH {sql.TOKENS}, {sql.document('thing')} SELECT {ROW}, tier FROM found")
@@ -175,17 +186,13 @@ def match_neighbours(spark, d):
     return terms(spark, d).select("doc_id", "id", "label", F.coalesce(F.lag("id").over(w), F.last("id").over(a)).alias("previous"), F.coalesce(F.lead("id").over(w), F.first("id").over(a)).alias("following"))
 
 
-ADDED = [" Neural ", "graph", "neural", "", "Graph ", "token", "a", "b", "c", "d", "e", "f", "g", "h"]
-
-
-@query("term_palette", f"""WITH a AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{t}')" for k, t in enumerate(ADDED))}) v(k, t)), u AS (SELECT k, trim(t) AS term FROM a WHERE trim(t) <> '' QUALIFY row_number() OVER (PARTITION BY lower(trim(t)) ORDER BY k) = 1)
-SELECT term, [{", ".join(f"'{c}'" for c in PALETTE)}][(row_number() OVER (ORDER BY k) - 1) % 10 + 1] AS color FROM u""")
+@query("term_palette", f"""WITH a AS (SELECT conv_id, turn, unnest(range(len(ws))) AS i, unnest(ws) AS t FROM (SELECT conv_id, turn, string_split(left(text, 60), ' ') AS ws FROM conversations)),
+u AS (SELECT conv_id, turn, i, trim(t, ' ' || chr(10)) AS term FROM a WHERE trim(t, ' ' || chr(10)) <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower(trim(t, ' ' || chr(10))) ORDER BY turn, i) = 1)
+SELECT conv_id, term, [{", ".join(f"'{c}'" for c in PALETTE)}][(row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1) % 10 + 1] AS color FROM u""")
 def term_palette(spark, d):
-    """Terms added one after another: trimmed, doubles refused, colors in turn. A term list is short by nature."""
-    df = spark.createDataFrame(list(enumerate(ADDED)), "k int, t string").withColumn("term", F.trim("t")).filter("term <> ''")
-    one = df.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("term")).orderBy("k"))).filter("n = 1")
-    at = (F.row_number().over(Window.orderBy("k")) - 1) % 10
-    return one.select("term", F.get(F.array(*map(F.lit, PALETTE)), at).alias("color"))
+    """Each conversation's words added as terms one after another: trimmed, doubles refused, colors in turn."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split(F.left("text", F.lit(60)), " ")).alias("i", "t"))
+    return S.term_list(c.select("conv_id", F.struct("turn", "i").alias("at"), "t"), "conv_id")
 
 
 @query("keyword_occurrences", rf"""WITH {sql.ITEMS}, w AS (SELECT doc_id, page, item_index, 'thing' AS keyword, len(list_filter(regexp_extract_all(lower(text), '{sql.RE}'), lambda t: t = 'thing')) AS n FROM items),

@@ -59,7 +59,11 @@ def select_paragraph(spark, d):
     return S.paragraphs(it, F.col("item_index") == F.col("least")).select("doc_id", "page", "item_index")
 
 
-@query("next_level", "SELECT level, CASE WHEN level = 'word' THEN 'sentence' ELSE 'paragraph' END AS following FROM (VALUES ('word'), ('sentence'), ('paragraph')) v(level)")
+LEVELS = ("word", "sentence", "paragraph")
+
+
+@query("next_level", f"SELECT event_id, level, CASE WHEN level = 'word' THEN 'sentence' ELSE 'paragraph' END AS following FROM (SELECT event_id, {list(LEVELS)}[event_id % 3 + 1] AS level FROM events)")
 def next_level(spark, d):
-    df = spark.createDataFrame([("word",), ("sentence",), ("paragraph",)], "level string")
-    return df.select("level", S.next_level(F.col("level")).alias("following"))
+    """What a further click selects, from the level that each event stands at."""
+    level = F.get(F.array(*map(F.lit, LEVELS)), (F.col("event_id") % 3).cast("int"))
+    return table(spark, d, "events").select("event_id", level.alias("level"), S.next_level(level).alias("following"))

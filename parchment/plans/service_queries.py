@@ -202,12 +202,13 @@ def kst_seconds_left(spark, d):
     return requests(spark, d).select("id", A.kst_seconds_left(F.col("ms")).alias("seconds"))
 
 
-HEADERS = ["1.2.3.4", " 9.9.9.9 , 10.0.0.1 ", "a, ", "", " , ,", None, "x,y,z"]
+#: Forwarding headers made from events: none, several hops, blanks, empty, one.
+_HEADER = "CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN concat(CAST(user_id AS {0}), '.1.1.1 , 10.0.0.', CAST(event_id % 250 AS {0})) WHEN 2 THEN ' a ,, ' WHEN 3 THEN ' , ' ELSE concat(CAST(user_id AS {0}), '.9.9.9') END"
 
 
-@query("client_ip", "SELECT k, coalesce(list_filter(list_transform(string_split(h, ','), lambda x: trim(x)), lambda x: x <> '')[-1], 'unknown') AS ip FROM (VALUES " + ", ".join(f"({k}, {'NULL' if h is None else _lit(h)})" for k, h in enumerate(HEADERS)) + ") v(k, h)")
+@query("client_ip", f"SELECT event_id, coalesce(list_filter(list_transform(string_split(h, ','), lambda x: trim(x)), lambda x: x <> '')[-1], 'unknown') AS ip FROM (SELECT event_id, {_HEADER.format('VARCHAR')} AS h FROM events)")
 def client_ip(spark, d):
-    return spark.createDataFrame(list(enumerate(HEADERS)), "k int, h string").select("k", A.client_ip(F.col("h")).alias("ip"))
+    return table(spark, d, "events").select("event_id", A.client_ip(F.expr(_HEADER.format("STRING"))).alias("ip"))
 
 
 @query("charge_chars", "SELECT conv_id, turn, least(length(trim(text)) + 12000, 30000) AS global_chars, least(length(trim(text)) + 12000, 5000) AS client_chars, length(trim(text)) AS translate_chars FROM conversations")
@@ -243,14 +244,25 @@ def usage_level(spark, d):
     return g.select("client", "day", A.usage_level(F.col("p")).alias("level"))
 
 
-QUOTA_HEADERS = [("10", "500", "5000"), ("x", "1", "2"), (None, "1", "2"), ("7", "8", "9"), ("", "1", "1"), ("1.5", "2", "3")]
+#: Quota headers made from events; some are missing or no integers.
+_QUOTA = {
+    "a": "CAST(event_id % 101 AS {0})",
+    "b": "CASE WHEN event_id % 7 = 0 THEN 'x' WHEN event_id % 7 = 1 THEN '1.5' ELSE CAST(user_id AS {0}) END",
+    "c": "CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 11 = 1 THEN '' ELSE CAST(CAST(round(value) AS BIGINT) AS {0}) END",
+}
 
 
-@query("parse_headers", "SELECT k, try_cast(a AS INT) AS percent, try_cast(b AS INT) AS used, try_cast(c AS INT) AS most FROM (VALUES " + ", ".join(f"({k}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for k, r in enumerate(QUOTA_HEADERS)) + ") v(k, a, b, c) WHERE regexp_full_match(a, '[0-9]+') AND regexp_full_match(b, '[0-9]+') AND regexp_full_match(c, '[0-9]+')")
+def _columns(made: dict[str, str], string: str) -> list[str]:
+    """SQL columns in the dialect whose text type has that name."""
+    return [f"{e.format(string)} AS {n}" for n, e in made.items()]
+
+
+@query("parse_headers", f"SELECT event_id, CAST(a AS INT) AS percent, try_cast(b AS INT) AS used, try_cast(c AS INT) AS most FROM (SELECT event_id, {', '.join(_columns(_QUOTA, 'VARCHAR'))} FROM events) WHERE regexp_full_match(a, '[0-9]+') AND regexp_full_match(b, '[0-9]+') AND regexp_full_match(c, '[0-9]+')")
 def parse_headers(spark, d):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(QUOTA_HEADERS)], "k int, a string, b string, c string")
+    """Percent, used and limit of the answers whose three headers are all integers."""
+    df = table(spark, d, "events").selectExpr("event_id", *_columns(_QUOTA, "STRING"))
     n = lambda c: F.when(F.col(c).rlike("^[0-9]+$"), F.col(c)).try_cast("int")
-    return df.select("k", n("a").alias("percent"), n("b").alias("used"), n("c").alias("most")).filter("percent is not null and used is not null and most is not null")
+    return df.select("event_id", n("a").alias("percent"), n("b").alias("used"), n("c").alias("most")).filter("percent is not null and used is not null and most is not null")
 
 
 @query("paper_context", f"WITH {sql.PAGES} SELECT doc_id, left(string_agg('[Page ' || page || ']' || chr(10) || concat, chr(10) || chr(10) ORDER BY page), 30000) AS context FROM pg GROUP BY doc_id")
@@ -293,26 +305,28 @@ def chat_contents(spark, d):
     return g.select("conv_id", F.array_join(F.concat(F.array(F.lit("user:instructions"), F.lit(f"model:{READY}")), F.transform("ps", lambda p: p["p"])), "\n").alias("contents"))
 
 
-GATE = [("hello there", 10, True), ("  ", 10, True), ("안녕하세요 여러분", 10, True), ("hello", 100, True), ("hello", 10, False), ("안녕", 100, False)]
+#: Texts to translate made from messages: blank, in Korean letters, and as they are.
+_ASKED = {"t": "CASE turn % 4 WHEN 1 THEN '  ' WHEN 2 THEN translate(text, 'aeiou', '가나다라마') ELSE text END", "p": "(conv_id * 7 + turn) % 130", "o": "turn % 5 <> 3"}
 
 
-@query("translate_gate", r"""SELECT k, CASE WHEN trim(t) = '' THEN 'nothing' WHEN length(regexp_replace(t, '[^\x{AC00}-\x{D7AF}\x{1100}-\x{11FF}\x{3130}-\x{318F}]', '', 'g')) > 0.3 * length(regexp_replace(t, '\s', '', 'g')) THEN 'ALREADY_KOREAN' WHEN p >= 100 THEN 'QUOTA' WHEN NOT o THEN 'OFFLINE' ELSE 'go' END AS gate FROM (VALUES """ + ", ".join(f"({k}, '{t}', {p}, {o})" for k, (t, p, o) in enumerate(GATE)) + ") v(k, t, p, o)")
+@query("translate_gate", rf"""SELECT conv_id, turn, CASE WHEN trim(t, ' ' || chr(10)) = '' THEN 'nothing' WHEN length(regexp_replace(t, '[^\x{{AC00}}-\x{{D7AF}}\x{{1100}}-\x{{11FF}}\x{{3130}}-\x{{318F}}]', '', 'g')) > 0.3 * length(regexp_replace(t, '\s', '', 'g')) THEN 'ALREADY_KOREAN' WHEN p >= 100 THEN 'QUOTA' WHEN NOT o THEN 'OFFLINE' ELSE 'go' END AS gate FROM (SELECT conv_id, turn, {', '.join(_columns(_ASKED, 'VARCHAR'))} FROM conversations)""")
 def translate_gate(spark, d):
-    df = spark.createDataFrame([(k, *r) for k, r in enumerate(GATE)], "k int, t string, p int, o boolean")
+    df = table(spark, d, "conversations").selectExpr("conv_id", "turn", *_columns(_ASKED, "STRING"))
     own, n = F.length(F.regexp_replace("t", "[^가-힯ᄀ-ᇿ㄰-㆏]", "")), F.length(F.regexp_replace("t", BLANK, ""))
-    return df.select("k", F.when(strip(F.col("t")) == "", "nothing").when(own > n * 0.3, "ALREADY_KOREAN").when(F.col("p") >= 100, "QUOTA").when(~F.col("o"), "OFFLINE").otherwise("go").alias("gate"))
+    return df.select("conv_id", "turn", F.when(strip(F.coalesce("t", F.lit(""))) == "", "nothing").when(own > n * 0.3, "ALREADY_KOREAN").when(F.col("p") >= 100, "QUOTA").when(~F.col("o"), "OFFLINE").otherwise("go").alias("gate"))
 
 
-STATES = ['{"scale": 1.5, "page": 3, "dark": true, "terms": ["a", "b"]}', '{"scale": "x", "page": -2, "dark": 1}', "{}", "not json", '{"scale": 9, "page": 2.5, "dark": false, "terms": "a"}']
+@query("history_without_errors", "SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'user' ELSE 'model' END AS role, text FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS newest FROM conversations) WHERE turn < newest AND (conv_id + turn) % 6 <> 5")
+def history_without_errors(spark, d):
+    """Messages before the newest without those that were errors (here one in six), with the roles that a model knows."""
+    c = table(spark, d, "conversations").withColumn("is_error", (F.col("conv_id") + F.col("turn")) % 6 == 5)
+    return S.client_history(c, "is_error").select("conv_id", "turn", "role", "text")
 
 
-@query("migrate_state", "SELECT k, CASE WHEN json_valid(s) AND json_type(s, '$.scale') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN least(3.0, greatest(0.5, CAST(json_extract(s, '$.scale') AS DOUBLE))) ELSE 1.0 END AS scale, CASE WHEN json_valid(s) AND json_type(s, '$.dark') = 'BOOLEAN' THEN CAST(json_extract(s, '$.dark') AS BOOLEAN) ELSE false END AS dark, CASE WHEN json_valid(s) AND json_type(s, '$.terms') = 'ARRAY' THEN CAST(json_array_length(s, '$.terms') AS INT) ELSE 0 END AS n_terms FROM (VALUES " + ", ".join(f"({k}, '{s}')" for k, s in enumerate(STATES)) + ") v(k, s)")
-def migrate_state(spark, d):
-    """Well-typed fields of a saved state stay, others get defaults; the scale is clamped."""
-    df = spark.createDataFrame(list(enumerate(STATES)), "k int, s string").withColumn("v", F.try_parse_json("s"))
-    kind = lambda p: F.schema_of_variant(F.try_variant_get("v", p, "variant"))
-    number = kind("$.scale").rlike("^(BIGINT|DOUBLE|DECIMAL.*)$")
-    scale = F.when(number, F.least(F.lit(3.0), F.greatest(F.lit(0.5), F.try_variant_get("v", "$.scale", "double")))).otherwise(1.0)
-    dark = F.when(kind("$.dark") == "BOOLEAN", F.try_variant_get("v", "$.dark", "boolean")).otherwise(False)
-    terms = F.when(kind("$.terms").startswith("ARRAY"), F.size(F.try_variant_get("v", "$.terms", "array<variant>"))).otherwise(0)
-    return df.select("k", scale.alias("scale"), F.coalesce(dark, F.lit(False)).alias("dark"), terms.alias("n_terms"))
+@query("usage_indicator", "WITH g AS (SELECT client, day, greatest(coalesce(max(percent) FILTER (endpoint = 'chat'), 0), coalesce(max(percent) FILTER (endpoint = 'translate'), 0)) AS p FROM (SELECT user_id AS client, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'chat' ELSE 'translate' END AS endpoint, round(100.0 * sum(round(value * 10)) / 2000) AS percent FROM events GROUP BY ALL) GROUP BY client, day) SELECT client, day, CASE WHEN p >= 90 THEN 'red' WHEN p >= 70 THEN 'amber' ELSE 'gray' END AS color FROM g")
+def usage_indicator(spark, d):
+    """The color of the fuller of both endpoints' days, the one a client doesn't use counting as empty."""
+    chat = F.col("endpoint").isin("view", "click", "purchase")
+    used = requests(spark, d).groupBy("client", "day", F.when(chat, "chat").otherwise("translate").alias("endpoint")).agg(F.round(100.0 * F.sum("chars") / 2000).alias("percent"))
+    of = lambda name: F.coalesce(F.max(F.when(F.col("endpoint") == name, F.col("percent"))), F.lit(0.0))
+    return used.groupBy("client", "day").agg(A.usage_color(of("chat"), of("translate")).alias("color"))

@@ -129,9 +129,9 @@ _EACH = "CASE c " + " ".join(f"WHEN '{c}' THEN '{f}'" for c, f in _GROWN.items()
 
 @query("fold_offsets", f"""WITH {sql.ITEMS}, t AS (SELECT doc_id, page, item_index, translate(text, '{_GREW[0]}', '{_GREW[1]}') AS text FROM items),
 f AS (SELECT doc_id, page, item_index, text, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: {_EACH}) AS ps FROM t),
-g AS (SELECT *, array_to_string(ps, '') AS folded, flatten(list_transform(range(1, len(ps) + 1), lambda i: list_transform(range(length(ps[i])), lambda k: i - 1))) AS at FROM f),
+g AS (SELECT *, array_to_string(ps, '') AS folded, flatten(list_transform(range(1, len(ps) + 1), lambda i: list_transform(range(length(ps[i])), lambda k: i - 1))) AS places FROM f),
 h AS (SELECT *, strpos(folded, 'fi') AS pl FROM g)
-SELECT doc_id, page, item_index, folded, array_to_string(at, ',') AS at, CAST(CASE WHEN pl > 0 THEN at[pl] END AS INT) AS "start", CAST(CASE WHEN pl > 0 THEN at[pl + 1] + 1 END AS INT) AS "end" FROM h""")
+SELECT doc_id, page, item_index, folded, array_to_string(places, ',') AS "at", CAST(CASE WHEN pl > 0 THEN places[pl] END AS INT) AS "start", CAST(CASE WHEN pl > 0 THEN places[pl + 1] + 1 END AS INT) AS "end" FROM h""")
 def fold_offsets(spark, d):
     """Items with characters that grow when they are folded: the folded text, the way back, and the first ``fi`` found in it, led back."""
     it = items(table(spark, d, "documents")).select("doc_id", "page", "item_index", F.translate("text", *_GREW).alias("text"))
