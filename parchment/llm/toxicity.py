@@ -41,6 +41,8 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = (4, 5, 6)
 RANK = 4
 THRESHOLD = 0.7
+#: Words whose terms a task remembers at most.
+KNOWN_WORDS = 100_000
 #: Terms that get parameters at most, and how much their presence must depend on the label.
 MAX_TERMS, MIN_CHI2 = 20_000, 10.8
 
@@ -68,7 +70,7 @@ class Model:
         class Known(dict):
             def __missing__(self, word):
                 found = tuple(place[t] for t in word_terms(word) if t in place)
-                if len(self) >= 500_000:
+                if len(self) >= KNOWN_WORDS:
                     self.clear()
                 self[word] = found
                 return found
