@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parchment.functions.text import tokens
+from parchment.operators.token_hits import placed_tokens
 from parchment.sources.tables import all_pages
 
 BUCKETS = 64
@@ -44,7 +44,7 @@ def _folder(spark: SparkSession) -> str:
 def write_store(docs: DataFrame, buckets: int = BUCKETS) -> Stored:
     """Tokenises docs once and writes the table."""
     spark, name = docs.sparkSession, f"parchment_tokens_{uuid.uuid4().hex}"
-    rows = all_pages(docs).withColumn("toks", tokens(F.col("concat"))).repartition(buckets, "doc_id")
+    rows = all_pages(docs).withColumn("toks", placed_tokens(F.col("concat"))).repartition(buckets, "doc_id")
     rows.write.bucketBy(buckets, "doc_id").sortBy("doc_id", "page").option("path", f"{_folder(spark)}/{name}").saveAsTable(name)
     return Stored(spark.table(name), name)
 
