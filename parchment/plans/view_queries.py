@@ -137,5 +137,5 @@ def fold_offsets(spark, d):
     it = items(table(spark, d, "documents")).select("doc_id", "page", "item_index", F.translate("text", *_GREW).alias("text"))
     m = it.select("doc_id", "page", "item_index", folding.fold_map(F.col("text")).alias("m")).withColumn("pl", F.instr(F.col("m.folded"), "fi") - 1)
     back = F.when(F.col("pl") >= 0, folding.original_span(F.col("m.at"), F.col("pl"), F.col("pl") + 2)).alias("s")
-    rows = m.select("doc_id", "page", "item_index", "m.folded", F.array_join(F.transform("m.at", lambda i: i.cast("string")), ",").alias("at"), back)
+    rows = m.select("doc_id", "page", "item_index", "m.folded", F.concat_ws(",", F.col("m.at").cast("array<string>")).alias("at"), back)
     return rows.select("doc_id", "page", "item_index", "folded", "at", "s.start", "s.end")
