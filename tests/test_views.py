@@ -140,3 +140,22 @@ def test_cached_keywords(spark, tmp_path):
     on = spark.createDataFrame([(1, "a"), (1, "b")], "doc_id bigint, term string")
     flip = spark.createDataFrame([(1, "a"), (1, "c"), (2, "d"), (2, "d"), (1, "b"), (1, "b")], "doc_id bigint, term string")
     assert sorted(map(tuple, toggled(on, flip).collect())) == [(1, "b"), (1, "c")]
+
+
+def test_matches_by_page_are_headers_and_their_matches(spark):
+    """Every match has its row and global index, not only its page's count."""
+    import __spark_entry__
+
+    d = "/root/testdata/sf0.001"
+    rows = __spark_entry__.queries()["matches_by_page"](spark, d).collect()
+    matches = {(r.doc_id, r.page, r.id, r.label) for r in __spark_entry__.queries()["search_terms"](spark, d).select("doc_id", "page", "id", "label").collect()}
+    results = [r for r in rows if r.kind == "result"]
+    assert len(results) == len(matches) and {(r.doc_id, r.page, r.id, r.label) for r in results} == matches
+    by_doc: dict = {}
+    for r in sorted(results, key=lambda r: r.global_index):
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for own in by_doc.values():
+        assert [r.global_index for r in own] == list(range(len(own)))
+        assert [r.header for r in own] == sorted(r.header for r in own)
+    for h in (r for r in rows if r.kind == "header"):
+        assert h.n == sum(r.page == h.page for r in by_doc[h.doc_id]) and h.first_page == (h.header == 1)
