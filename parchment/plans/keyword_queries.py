@@ -8,6 +8,7 @@ from parchment.functions import fixed_values as V
 from parchment.operators import keywords as K
 from parchment.plans import sql
 from parchment.plans.registry import query
+from parchment.session import ship
 from parchment.sources.tables import table
 from parchment.sources.token_store import stored
 
@@ -165,7 +166,7 @@ gp AS (SELECT doc_id, g, string_agg(DISTINCT page, ',' ORDER BY page) AS pages F
 {_rows_sql("ngram", "gt", "g", "round(CAST(t.raw AS DOUBLE) / best, 6)", "frequency", "[NULL, 'bigram', 'trigram'][t.k]", "(SELECT pages FROM gp WHERE gp.doc_id = t.doc_id AND gp.g = t.g)", "gf")}""")
 def kw_rows(spark, d):
     """Every column of the keywords of all three algorithms, from stored pages."""
-    rows = K.keywords(stored(spark.read.parquet(f"{d}/documents.parquet")))
+    rows = K.keywords(stored(ship(spark).read.parquet(f"{d}/documents.parquet")))
     part = F.transform("contexts", lambda c: F.concat(c["page"].cast("string"), F.lit(":"), c["item_index"].cast("string"), F.lit(":"), c["snippet"]))
     pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), ",")
     return rows.withColumn("pages", F.coalesce(pages, F.lit(""))).withColumn("contexts", F.coalesce(F.array_join(part, "|"), F.lit("")))
