@@ -3,16 +3,19 @@
 A document's keywords make one automaton (Aho-Corasick), which finds all of them in one pass over an item, however many
 there are. A single word must be a whole token of the item; several words must stand between ASCII word borders, and
 occurrences of one keyword don't overlap. Case doesn't count. Places are half-open, within the item.
+A hundred pages at a time are Python objects, without their tokens' texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from parchment.operators.search import with_tokens
+from parchment.operators.term_counts import parts
 from parchment.sources.tables import pages
 
 WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
@@ -55,9 +58,9 @@ def spans(text: str, whole: set[tuple[int, int]], found) -> Iterator[tuple[int,
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made: tuple = ((), None)
-    for b in batches:
+    for b in parts(batches, 100):
         out = []
-        for doc, page, items, toks, terms in zip(*(c.to_pylist() for c in b.columns)):
+        for doc, page, items, starts, ends, terms in zip(*(c.to_pylist() for c in b.columns)):
             key = tuple(terms)
             if key != made[0]:
                 made = (key, automaton(key) if any(key) else None)
@@ -65,7 +68,8 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             for item in items:
                 first = item["start"]
-                whole = {(t["start"] - first, t["end"] - first) for t in toks if first <= t["start"] < item["end"]}
+                lo, hi = bisect_left(starts, first), bisect_left(starts, item["end"])
+                whole = {(s - first, e - first) for s, e in zip(starts[lo:hi], ends[lo:hi])}
                 out += [(doc, page, item["item_index"], *s) for s in spans(item["text"], whole, made[1])]
         cols = list(zip(*out)) if out else [()] * 6
         kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
@@ -78,5 +82,5 @@ def keyword_spans(docs: DataFrame, active: DataFrame) -> DataFrame:
     Terms are lower-cased, and repeated ones count once. Documents without active keywords have no rows.
     """
     terms = active.filter("term is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.lower("term"))).alias("terms"))
-    rows = with_tokens(pages(docs)).select("doc_id", "page", "items", "toks").join(terms, "doc_id")
-    return rows.select("doc_id", "page", "items", "toks", "terms").mapInArrow(_run, "doc_id bigint, page int, item_index int, start int, end int, term string")
+    rows = with_tokens(pages(docs)).select("doc_id", "page", "items", F.col("toks.start").alias("starts"), F.col("toks.end").alias("ends")).join(terms, "doc_id")
+    return rows.select("doc_id", "page", "items", "starts", "ends", "terms").mapInArrow(_run, "doc_id bigint, page int, item_index int, start int, end int, term string")

@@ -10,6 +10,7 @@ from parchment.plans import sql
 from parchment.plans.keyword_queries import NGRAM, RANKED, TFIDF, BASE
 from parchment.plans.registry import query
 from parchment.plans.search_queries import ORDER, _terms_sql, terms
+from parchment.session import ship
 from parchment.sources.tables import items, table
 from parchment.sources.token_store import stored
 
@@ -27,9 +28,8 @@ SELECT doc_id, page, item_index, CAST(e - length(token) AS INT) AS "start", CAST
 UNION ALL SELECT doc_id, page, item_index, CAST(s AS INT), CAST(s + length(term) AS INT), term FROM pu""")
 def keyword_spans(spark, d):
     """The places of each document's five best words and five best n-grams, from stored pages."""
-    docs = stored(spark.read.parquet(f"{d}/documents.parquet"))
-    active = K.tfidf(docs).filter("rank <= 5").select("doc_id", "term").unionAll(K.ngrams(docs).filter("rank <= 5").select("doc_id", "term"))
-    return highlights.keyword_spans(docs, active)
+    docs = stored(ship(spark).read.parquet(f"{d}/documents.parquet"))
+    return highlights.keyword_spans(docs, K.best_terms(docs, 5))
 
 
 def _after(tail: str) -> str:

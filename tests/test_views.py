@@ -159,3 +159,15 @@ def test_matches_by_page_are_headers_and_their_matches(spark):
         assert [r.header for r in own] == sorted(r.header for r in own)
     for h in (r for r in rows if r.kind == "header"):
         assert h.n == sum(r.page == h.page for r in by_doc[h.doc_id]) and h.first_page == (h.header == 1)
+
+
+def test_keyword_spans_hold_few_pages_at_a_time():
+    """A batch of pages gives its rows in pieces, each from a hundred pages."""
+    import pyarrow as pa
+
+    n = 1050
+    items = pa.array([[{"item_index": 0, "text": "a graph", "start": 0, "end": 7}]] * n)
+    cols = [pa.array(range(n), pa.int64()), pa.array([1] * n, pa.int32()), items, pa.array([[0, 2]] * n, pa.list_(pa.int32())), pa.array([[1, 7]] * n, pa.list_(pa.int32())), pa.array([["graph"]] * n)]
+    out = list(H._run(iter([pa.RecordBatch.from_arrays(cols, names=["doc_id", "page", "items", "starts", "ends", "terms"])])))
+    assert max(b.num_rows for b in out) <= 100 and sum(b.num_rows for b in out) == n
+    assert out[0].slice(0, 1).to_pylist() == [{"doc_id": 0, "page": 1, "item_index": 0, "start": 2, "end": 7, "term": "graph"}]
